@@ -27,28 +27,37 @@ def race_bucket(lap: Column, total_laps: Column) -> Column:
     )
 
 
-def phase_laps(total_laps: Column, upto: Column | None = None) -> Column:
-    """``array<struct<bucket,laps>>``: how many laps of ``1..upto`` each phase holds.
+def phase_laps(total_laps: Column, last: Column, first: Column | int = 1) -> dict[str, Column]:
+    """How many of the laps ``first..last`` each race phase holds.
 
     Counting by formula keeps one row per race where a lap-by-lap expansion would
     make one per lap. A phase that ends at share f holds the laps with
     ``lap - 1 < f * (total - 1)``; f is a multiple of 1/4, so the product is exact.
+    Laps past the distance belong to the last phase.
     """
-    total = total_laps.cast("bigint")
-    last = total if upto is None else F.least(total, upto.cast("bigint"))
-    span = F.greatest(F.lit(1), total - 1).cast("double")
-
-    def through(share: float) -> Column:
-        # laps 1..x lie before the end of the phase; lap 1 is always counted apart
-        return F.greatest(F.lit(1), F.ceil(span * share))
-
-    ends = [F.lit(1).cast("bigint"), *[through(s) for s in PHASE_ENDS], total]
-    starts = [F.lit(0).cast("bigint"), *ends[:-1]]
-    parts = []
-    for name, start, end in zip(BUCKETS, starts, ends, strict=True):
-        inside = F.greatest(F.lit(0), F.least(end, last) - F.least(start, last))
-        parts.append(F.struct(F.lit(name).alias("bucket"), inside.cast("bigint").alias("laps")))
-    return F.array(*parts)
+    span = F.greatest(F.lit(1), total_laps - 1).cast("double")
+    none = F.lit(0).cast("bigint")
+    last, first = last.cast("bigint"), F.greatest(F.lit(1), F.lit(first)).cast("bigint")
+    short = total_laps <= 1
+    ends = [F.lit(1).cast("bigint")]
+    for i, share in enumerate(PHASE_ENDS):
+        end = F.greatest(F.lit(1).cast("bigint"), F.ceil(span * share))
+        # a race of one lap has nothing but an opening lap and an early phase
+        ends.append(F.when(short, F.greatest(last, F.lit(1))).otherwise(end) if i == 0 else end)
+    ends.append(F.greatest(last, ends[-1]))
+    counts, start = {}, none
+    for name, end in zip(BUCKETS, ends, strict=True):
+        inside = F.least(end, last) - F.greatest(start, first - 1)
+        counts[name] = F.greatest(none, inside)
+        start = F.greatest(start, end)
+    return counts
+
+
+def phase_array(counts: dict[str, Column]) -> Column:
+    """The same counts as ``array<struct<bucket,laps>>``, five entries, to explode."""
+    return F.array(
+        *[F.struct(F.lit(b).alias("bucket"), n.alias("laps")) for b, n in counts.items()]
+    )
 
 
 def laps_remaining(lap: Column, total_laps: Column) -> Column:

@@ -48,3 +48,69 @@ laps AS (
     lap = driver_laps AND topic = 'error' AND lap < total_laps AS retired, position
   FROM lap2)"""
 )
+
+RACES = (
+    LAPS
+    + """,
+race AS (
+  SELECT session_id, CAST(min(circuit) AS VARCHAR) AS circuit, max(total_laps) AS total_laps,
+    count(DISTINCT driver) AS starters
+  FROM laps GROUP BY session_id),
+flag AS (
+  SELECT session_id, lap, bool_or(status = '4') AS sc, bool_or(status = '6') AS vsc
+  FROM laps GROUP BY session_id, lap),
+sc_start AS (
+  SELECT a.session_id, a.lap FROM flag a LEFT JOIN flag b
+    ON a.session_id = b.session_id AND b.lap = a.lap - 1 AND b.sc WHERE a.sc AND b.lap IS NULL),
+vsc_start AS (
+  SELECT a.session_id, a.lap FROM flag a LEFT JOIN flag b
+    ON a.session_id = b.session_id AND b.lap = a.lap - 1 AND b.vsc WHERE a.vsc AND b.lap IS NULL),
+active AS (SELECT session_id, lap FROM flag WHERE sc OR vsc),
+start AS (
+  SELECT s.session_id, s.lap FROM
+    (SELECT * FROM sc_start UNION SELECT * FROM vsc_start) s
+    LEFT JOIN active b ON s.session_id = b.session_id AND b.lap = s.lap - 1
+  WHERE b.lap IS NULL),
+gone AS (SELECT session_id, driver, lap FROM laps WHERE retired)"""
+)
+
+PHASE = """CASE WHEN lap <= 1 THEN 'lap1' WHEN total_laps <= 1 THEN 'early'
+  WHEN (lap - 1) / CAST(total_laps - 1 AS DOUBLE) < 0.25 THEN 'early'
+  WHEN (lap - 1) / CAST(total_laps - 1 AS DOUBLE) < 0.50 THEN 'mid'
+  WHEN (lap - 1) / CAST(total_laps - 1 AS DOUBLE) < 0.75 THEN 'late' ELSE 'final' END"""
+
+# One row per race and lap: the plain way to count laps at risk.
+RACE_LAPS = (
+    RACES
+    + f""",
+grid AS (
+  SELECT session_id, circuit, total_laps, starters, lap, {PHASE} AS bucket FROM (
+    SELECT *, unnest(generate_series(1, total_laps)) AS lap FROM race WHERE total_laps >= 2)),
+risk AS (
+  SELECT g.*, CASE WHEN s.lap IS NULL THEN 0 ELSE 1 END AS event
+  FROM grid g LEFT JOIN active a USING (session_id, lap) LEFT JOIN start s USING (session_id, lap)
+  WHERE a.lap IS NULL OR s.lap IS NOT NULL),
+base AS (
+  SELECT bucket, count(*) AS exposure, sum(event) AS events,
+    sum(event) / CAST(count(*) AS DOUBLE) AS hazard FROM risk GROUP BY bucket),
+factor AS (
+  SELECT circuit, (sum(event) + CAST(3 AS DOUBLE)) / (sum(hazard) + CAST(3 AS DOUBLE)) AS factor
+  FROM risk JOIN base USING (bucket) GROUP BY circuit),
+car AS (
+  SELECT g.*, CASE WHEN r.lap = g.lap THEN 1 ELSE 0 END AS event
+  FROM grid g JOIN (SELECT DISTINCT session_id, driver FROM laps) d USING (session_id)
+  LEFT JOIN gone r ON r.session_id = d.session_id AND r.driver = d.driver
+  WHERE r.lap IS NULL OR g.lap <= r.lap),
+cbase AS (
+  SELECT bucket, count(*) AS exposure, sum(event) AS events,
+    sum(event) / CAST(count(*) AS DOUBLE) AS hazard FROM car GROUP BY bucket),
+cfactor AS (
+  SELECT circuit, (sum(event) + CAST(4 AS DOUBLE)) / (sum(hazard) + CAST(4 AS DOUBLE)) AS factor
+  FROM car JOIN cbase USING (bucket) GROUP BY circuit),
+hlap AS (
+  SELECT g.session_id, g.circuit, g.total_laps, g.lap,
+    least(CAST(1 AS DOUBLE), coalesce(b.hazard, 0) * coalesce(f.factor, 1)) AS h,
+    least(CAST(1 AS DOUBLE), coalesce(c.hazard, 0) * coalesce(e.factor, 1)) AS ch
+  FROM grid g LEFT JOIN base b USING (bucket) LEFT JOIN factor f USING (circuit)
+    LEFT JOIN cbase c USING (bucket) LEFT JOIN cfactor e USING (circuit))"""
+)

@@ -45,8 +45,14 @@ def race_lengths(raw: DataFrame) -> DataFrame:
     return per_car.groupBy("session_id").agg(F.max("driver_laps").alias("total_laps"))
 
 
-def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One lap per event, with the columns lap extraction gives."""
+def laps(
+    spark: SparkSession, sf_dir: str, position: bool = False, stints: bool = True
+) -> DataFrame:
+    """One lap per event, with the columns lap extraction gives.
+
+    Ranking the cars of each lap costs a further shuffle, so ``position`` is only
+    added on request. Without ``stints`` the pass behind tyre age is left out.
+    """
     raw = feed(spark, sf_dir)
     car = ["session_id", "driver"]
     pit = F.col("topic") == "purchase"
@@ -62,13 +68,15 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunk="chunk",
     )
     exited = F.coalesce(F.col("pit_before") == 1, F.lit(False))
-    staged = running(
-        counted,
-        car,
-        "seq",
-        maxima={"stint_start": F.when(exited, F.col("lap"))},
-        chunk="chunk",
-    )
+    staged = counted.withColumn("stint_start", F.lit(None).cast("bigint"))
+    if stints:
+        staged = running(
+            counted,
+            car,
+            "seq",
+            maxima={"stint_start": F.when(exited, F.col("lap"))},
+            chunk="chunk",
+        )
     stint = F.col("stops") - entered
     extra = F.when(F.col("value") > 200, 60.0).otherwise(0.0)
     lap_time = F.lit(80.0) + F.col("k") / 10 + extra
@@ -102,11 +110,43 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
             "retired"
         ),
     )
-    placed = ranked(
+    timed = timed.withColumn("track_statuses", F.array("status"))
+    if not stints:
+        timed = timed.drop("tyre_age")
+    if not position:
+        return timed
+    return ranked(
         timed,
         ["session_id", "lap"],
         [F.col("value").desc(), F.col("driver")],
         -F.floor("value"),
         "position",
     )
-    return placed.withColumn("track_statuses", F.array("status"))
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps as a results service publishes them: race, driver, lap, status codes."""
+    return laps(spark, sf_dir, stints=False).select(
+        "session_id", "circuit", "driver", "lap", "status", "retired"
+    )
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One classification row per car: ``R`` for a retirement, else ``F``."""
+    return (
+        observed(spark, sf_dir)
+        .groupBy("session_id", "driver")
+        .agg(F.when(F.bool_or("retired"), "R").otherwise("F").alias("classified"))
+    )
+
+
+def races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per race: circuit, total_laps, starters."""
+    per_car = (
+        feed(spark, sf_dir)
+        .groupBy("session_id", "cohort", "driver")
+        .agg(F.count(F.lit(1)).alias("driver_laps"))
+    )
+    return per_car.groupBy("session_id", F.col("cohort").cast("string").alias("circuit")).agg(
+        F.max("driver_laps").alias("total_laps"), F.count(F.lit(1)).alias("starters")
+    )
