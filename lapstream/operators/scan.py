@@ -1,13 +1,16 @@
 """Ordered running values over keys of any size.
 
-A plain window over (session, car) puts a whole key into one task. Here each key
-is cut into chunks along the order column. Every chunk is windowed by itself, one
-small summary row per chunk is folded along the key, and the folded value from
-the chunks before is joined back. The answer is the same as the plain window;
-the largest unit of work is one chunk.
+A plain window over (session, car) puts a whole key into one task. Where a key can
+be larger than one task should hold, it is cut into chunks along the order column.
+Every chunk is windowed by itself, one small summary row per chunk is folded along
+the key, and the value from the chunks before is joined back. The answer is the
+same as the plain window; the largest unit of work is one chunk.
 
 Rows are shuffled once, by (key, chunk): the chunk window and the join back share
 that partitioning. The summary is a map-side combined aggregate.
+
+:func:`chunk_span` measures the order column first. When all rows span less than
+one chunk, no key can hold more, and ``span=None`` runs the plain window.
 """
 
 from __future__ import annotations
@@ -17,14 +20,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapstream.session import cut_lineage
+
 CHUNK_SPAN = 1 << 20
 
 
-def with_chunk(
-    df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "chunk"
-) -> DataFrame:
+def chunk_span(df: DataFrame, order: str = "seq", span: int = CHUNK_SPAN) -> int | None:
+    """``span``, or None where the whole order column fits in one chunk."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    return None if low is None or high - low < span else span
+
+
+def settled(df: DataFrame, span: int | None, label: str) -> DataFrame:
+    """Write a step out before it is scanned in chunks.
+
+    A chunked scan reads its input twice, so a chain of them would repeat the work
+    before it. One-chunk scans read once and need no table in between.
+    """
+    return df if span is None else cut_lineage(df, label)
+
+
+def with_chunk(df: DataFrame, order: str, span: int | None, name: str = "chunk") -> DataFrame:
     """Add the chunk number of each row: equal stretches of the order column."""
-    return df.withColumn(name, F.floor(F.col(order) / span))
+    return df if span is None else df.withColumn(name, F.floor(F.col(order) / span))
+
+
+def _plain(df, keys, order, number, size, sums, maxima, lasts, lags) -> DataFrame:
+    along = Window.partitionBy(*keys).orderBy(order)
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {n: F.sum(c).over(upto) for n, c in sums.items()}
+    out |= {n: F.max(c).over(upto) for n, c in maxima.items()}
+    out |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
+    out |= {n: F.lag(c).over(along) for n, c in lags.items()}
+    if number:
+        out[number] = F.row_number().over(along).cast("bigint")
+    if size:
+        out[size] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    kept = [F.col(c) for c in df.columns if c not in out]
+    return df.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
 def running(
@@ -38,7 +71,7 @@ def running(
     maxima: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
-    span: int = CHUNK_SPAN,
+    span: int | None = CHUNK_SPAN,
     chunk: str | None = None,
 ) -> DataFrame:
     """Add running values per key along ``order`` (unique within a key).
@@ -52,6 +85,8 @@ def running(
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     lasts, lags = dict(lasts or {}), dict(lags or {})
+    if span is None:
+        return _plain(df, keys, order, number, size, sums, maxima, lasts, lags)
     named = {**sums, **maxima, **lasts, **lags}
     inputs = {name: f"_in_{name}" for name in named}
     chunked = df if chunk else with_chunk(df, order, span, "_chunk")
@@ -117,14 +152,18 @@ def ranked(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column,
+    chunk: Column | None,
     name: str,
 ) -> DataFrame:
     """Row number within a key, for keys too big for one task.
 
     ``chunk`` must never decrease along ``order``: rows of a lower chunk come
     first. A rank is then the rows of lower chunks plus the place within its own.
+    ``chunk=None`` is for keys known to be small.
     """
+    if chunk is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, place.cast("bigint"))
     chunked = df.withColumn("_chunk", chunk)
     by = [*keys, "_chunk"]
     earlier = (

@@ -1,4 +1,9 @@
 """All registered queries; importing a module registers its queries."""
 
-from lapstream.plans import queries_clean, queries_history, queries_pace  # noqa: F401
+from lapstream.plans import (  # noqa: F401
+    queries_clean,
+    queries_feed,
+    queries_history,
+    queries_pace,
+)
 from lapstream.plans.registry import ORACLES, QUERIES  # noqa: F401

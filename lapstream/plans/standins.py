@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapstream.operators.scan import ranked, running, with_chunk
+from lapstream.operators.scan import chunk_span, ranked, running, with_chunk
+
+
+def span(spark: SparkSession, sf_dir: str) -> int | None:
+    """Chunk length for scans along ``seq``; None while everything fits in one chunk."""
+    return chunk_span(feed(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,18 +59,21 @@ def laps(
     added on request. Without ``stints`` the pass behind tyre age is left out.
     """
     raw = feed(spark, sf_dir)
+    step = chunk_span(raw)
+    chunk = "chunk" if step else None
     car = ["session_id", "driver"]
     pit = F.col("topic") == "purchase"
     entered = pit.cast("bigint")
     counted = running(
-        with_chunk(raw, "seq"),
+        with_chunk(raw, "seq", step),
         car,
         "seq",
         number="lap",
         size="driver_laps",
         sums={"stops": entered},
         lags={"pit_before": entered},
-        chunk="chunk",
+        span=step,
+        chunk=chunk,
     )
     exited = F.coalesce(F.col("pit_before") == 1, F.lit(False))
     staged = counted.withColumn("stint_start", F.lit(None).cast("bigint"))
@@ -75,7 +83,8 @@ def laps(
             car,
             "seq",
             maxima={"stint_start": F.when(exited, F.col("lap"))},
-            chunk="chunk",
+            span=step,
+        chunk=chunk,
         )
     stint = F.col("stops") - entered
     extra = F.when(F.col("value") > 200, 60.0).otherwise(0.0)
@@ -119,7 +128,7 @@ def laps(
         timed,
         ["session_id", "lap"],
         [F.col("value").desc(), F.col("driver")],
-        -F.floor("value"),
+        -F.floor("value") if step else None,
         "position",
     )
 
@@ -150,3 +159,140 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_car.groupBy("session_id", F.col("cohort").cast("string").alias("circuit")).agg(
         F.max("driver_laps").alias("total_laps"), F.count(F.lit(1)).alias("starters")
     )
+
+
+def _number(x: Column) -> Column:
+    return x.cast("string")
+
+
+def _sent(when: Column, value: Column) -> Column:
+    """A field that is only part of the message under a condition."""
+    return F.when(when, value)
+
+
+def _car_map(car: Column, line: Column) -> Column:
+    return F.create_map(car, line)
+
+
+def message_json() -> Column:
+    """JSON payload of an event, in the shape of a real feed message.
+
+    click: timing change   purchase: lap completion   view: tyre stint
+    error: track status    signup: lap count, weather, driver or session
+    """
+    k, car, value = F.col("k"), F.col("car"), F.col("value")
+    change = F.struct(
+        _sent(k % 5 != 4, F.when(k < 3, "").otherwise(_number(k % 20 + 1))).alias("Position"),
+        _sent(
+            k % 4 != 0,
+            F.when(k % 4 == 1, "").otherwise(F.concat(F.lit("+"), _number(value))),
+        ).alias("GapToLeader"),
+        _sent(
+            k % 3 != 2,
+            F.struct(
+                F.when(k % 3 == 0, "1L").otherwise(F.concat(F.lit("+"), _number(value))).alias("Value")
+            ),
+        ).alias("IntervalToPositionAhead"),
+        F.when(k % 10 == 7, True).when(k % 10 == 8, False).alias("InPit"),
+        F.when(k % 10 == 8, True).when(k % 10 == 9, False).alias("PitOut"),
+        F.when(k == 50, "true").when(k == 51, "false").alias("Retired"),
+    )
+    clock = F.concat(
+        F.lit("1:"), F.lpad(_number(k % 60), 2, "0"), F.lit("."), F.lpad(_number(k), 3, "0")
+    )
+    sector = F.struct(F.concat(_number(20 + k % 10), F.lit(".5")).alias("Value"))
+    done = F.struct(
+        _sent(k % 3 != 0, F.floor(k / 10)).alias("NumberOfLaps"),
+        F.struct(F.when(k < 5, "").otherwise(clock).alias("Value")).alias("LastLapTime"),
+        F.create_map(_number(k % 4), sector).alias("Sectors"),
+    )
+    tyre = F.struct(
+        F.when(k % 4 == 1, "SOFT")
+        .when(k % 4 == 2, "hard")
+        .when(k % 4 == 3, "TEST_UNKNOWN")
+        .alias("Compound"),
+        _sent(k % 2 == 0, F.lit("false")).alias("New"),
+        _sent(k % 5 != 0, k % 30).alias("TotalLaps"),
+    )
+    stints = F.struct(F.create_map(_number(F.floor(k / 34)), tyre).alias("Stints"))
+
+    def lines(line: Column) -> Column:
+        return F.to_json(F.struct(_car_map(car, line).alias("Lines")))
+
+    lap_count = F.struct(
+        F.when(k < 8, "").otherwise(_number(k)).alias("CurrentLap"),
+        _sent(k % 8 == 0, F.lit(70)).alias("TotalLaps"),
+    )
+    weather = F.struct(
+        _number(k % 10 - 1).alias("AirTemp"),
+        F.when(k > 50, "x").otherwise(_number(k)).alias("TrackTemp"),
+        F.when(k % 8 == 1, "1").when(k % 16 == 5, "0").alias("Rainfall"),
+    )
+    driver = F.struct(
+        F.when(k < 10, "").otherwise(F.concat(F.lit("T"), _number(k))).alias("Tla"),
+        _sent(k % 8 != 2, F.concat(F.lit("Car "), _number(k))).alias("FullName"),
+        F.concat(F.lit("B"), _number(k)).alias("BroadcastName"),
+        F.concat(F.lit("Team "), _number(k % 10)).alias("TeamName"),
+    )
+    place = F.struct(
+        F.concat(F.lit("L"), _number(k)).alias("Location"),
+        F.struct(
+            _sent(k % 8 != 3, F.concat(F.lit("C"), _number(k))).alias("ShortName")
+        ).alias("Circuit"),
+    )
+    session = F.struct(
+        F.concat(F.lit("Race "), _number(k)).alias("Name"),
+        F.lit("Race").alias("Type"),
+        place.alias("Meeting"),
+    )
+    topic = F.col("event_type")
+    return (
+        F.when(topic == "click", lines(change))
+        .when(topic == "purchase", lines(done))
+        .when(topic == "view", lines(stints))
+        .when(topic == "error", F.to_json(F.struct(_number(k % 9).alias("Status"))))
+        .when(k % 4 == 0, F.to_json(lap_count))
+        .when(k % 4 == 1, F.to_json(weather))
+        .when(k % 4 == 2, F.to_json(F.create_map(car, driver)))
+        .otherwise(F.to_json(session))
+    )
+
+
+def message_topic() -> Column:
+    topic, turn = F.col("event_type"), F.col("k") % 4
+    return (
+        F.when(topic.isin("click", "purchase"), "TimingData")
+        .when(topic == "view", "TimingAppData")
+        .when(topic == "error", "TrackStatus")
+        .when(turn == 0, "LapCount")
+        .when(turn == 1, "WeatherData")
+        .when(turn == 2, "DriverList")
+        .otherwise("SessionInfo")
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed messages as text: session_id, seq, ts, topic, payload_json."""
+    rows = feed(spark, sf_dir).withColumnRenamed("topic", "event_type")
+    rows = rows.withColumn("car", _number(F.col("driver")))
+    return rows.select(
+        _number(F.col("session_id")).alias("session_id"),
+        "seq",
+        "ts",
+        message_topic().alias("topic"),
+        message_json().alias("payload_json"),
+        "k",
+        "car",
+    )
+
+
+def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as feed events, payload opened to VARIANT."""
+    return messages(spark, sf_dir).select(
+        "session_id",
+        "seq",
+        "topic",
+        F.try_parse_json("payload_json").alias("payload"),
+        "ts",
+        F.col("ts").isNull().alias("is_snapshot"),
+    )
