@@ -193,7 +193,26 @@ def call_text(lap: Column, pit_lap: Column, code: Column) -> Column:
 
 
 def format_skill(x: Column) -> Column:
-    """Signed percentage; a loss against a flawless baseline is ``worse*``."""
-    return F.when(x == F.lit(float("-inf")), "worse*").otherwise(
-        F.format_string("%+.1f%%", x * 100)
+    """Signed percentage with one decimal; a loss against a flawless baseline is ``worse*``.
+
+    Rounds the stored binary value, half to even, as C and Python formatting do.
+    Java's formatter rounds the shortest decimal spelling, half up, which differs
+    in the last place. The fraction is therefore split into whole 2**-53 steps.
+    """
+    size = F.abs(F.when(F.abs(x) != F.lit(float("inf")), x) * 100)
+    whole = F.floor(size)
+    steps = ((size - whole) * float(1 << 53)).cast("bigint") * 10
+    tenth = F.shiftright(steps, 53)
+    rest = steps.bitwiseAND((1 << 53) - 1)
+    half = F.lit(1 << 52)
+    up = (rest > half) | ((rest == half) & (tenth % 2 == 1))
+    tenths = whole * 10 + tenth + up.cast("bigint")
+    sign = F.when(x < 0, "-").otherwise("+")
+    shown = F.concat(
+        sign,
+        F.floor(tenths / 10).cast("string"),
+        F.lit("."),
+        (tenths % 10).cast("string"),
+        F.lit("%"),
     )
+    return F.when(x == F.lit(float("-inf")), "worse*").otherwise(shown)

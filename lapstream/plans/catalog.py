@@ -1,9 +1,12 @@
 """All registered queries; importing a module registers its queries."""
 
 from lapstream.plans import (  # noqa: F401
+    queries_board,
     queries_clean,
     queries_feed,
     queries_history,
+    queries_outcomes,
     queries_pace,
+    queries_sources,
 )
 from lapstream.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -298,3 +298,69 @@ flaps AS (
   FROM acc a LEFT JOIN pits p USING (session_id, car, seq) LEFT JOIN stat s
     USING (session_id, car, seq) LEFT JOIN tyre t USING (session_id, car, seq))"""
 )
+
+DRAWS = (
+    LAPS
+    + """,
+draws AS (
+  SELECT session_id, lap % 4 AS option_id, lap // 4 AS draw, driver,
+    CAST(sum(CAST(round(coalesce(lap_time, 120) * 1000) AS BIGINT))
+      OVER (PARTITION BY session_id, driver ORDER BY seq) AS BIGINT) / CAST(1000 AS DOUBLE) AS elapsed,
+    retired, lap AS retired_on, position, total_laps
+  FROM laps),
+subj AS (
+  SELECT session_id, min(driver) AS driver FROM laps GROUP BY session_id),
+subject AS (
+  SELECT s.session_id, s.driver, arg_max(l.position, l.lap) AS start_position
+  FROM subj s JOIN laps l USING (session_id, driver) GROUP BY 1, 2),
+board AS (
+  SELECT d.session_id, option_id, d.driver, avg(CAST(position AS DOUBLE)) AS mean_position,
+    avg(CAST(position <= 3 AS INT)) AS p_top3, avg(CAST(position <= 10 AS INT)) AS p_points,
+    avg(CAST(position < start_position AS INT)) AS p_gain,
+    avg(CAST(retired AS INT)) AS p_retire, count(*) AS n_sims
+  FROM draws d JOIN subject USING (session_id, driver) GROUP BY 1, 2, 3),
+dist AS (
+  SELECT session_id, option_id, driver, position,
+    count(*) / CAST(sum(count(*)) OVER (PARTITION BY session_id, option_id, driver) AS DOUBLE)
+      AS probability
+  FROM draws GROUP BY 1, 2, 3, 4)"""
+)
+
+PREDS = (
+    LAPS
+    + """,
+preds AS (
+  SELECT session_id, driver, avg(CAST(position <= 3 AS INT)) AS p_top3,
+    avg(CAST(position <= 10 AS INT)) AS p_points, avg(CAST(position AS DOUBLE)) AS expected_position,
+    arg_max(position, lap) AS position, max(lap) AS lap, max(total_laps) AS total_laps
+  FROM laps WHERE lap * 2 <= total_laps GROUP BY 1, 2),
+fin AS (
+  SELECT session_id, driver, actual FROM (
+    SELECT session_id, driver, bool_or(retired) AS gone, row_number() OVER (PARTITION BY session_id
+      ORDER BY sum(CAST(round(value * 100) AS BIGINT)) DESC, driver) AS actual
+    FROM laps GROUP BY 1, 2) WHERE NOT gone),
+pair AS (
+  SELECT p.*, actual, CASE WHEN actual <= 3 THEN CAST(1 AS DOUBLE) ELSE 0 END AS t3,
+    CASE WHEN actual <= 10 THEN CAST(1 AS DOUBLE) ELSE 0 END AS pt,
+    CASE WHEN position <= 3 THEN CAST(1 AS DOUBLE) ELSE 0 END AS h3,
+    CASE WHEN position <= 10 THEN CAST(1 AS DOUBLE) ELSE 0 END AS hp
+  FROM preds p JOIN fin USING (session_id, driver)),
+card AS (
+  SELECT s.session_id, count(actual) AS n, any_value(s.total) - count(actual) AS n_skipped,
+    coalesce(avg(power(p_top3 - t3, 2)), 0) AS brier_top3,
+    coalesce(avg(power(p_points - pt, 2)), 0) AS brier_points,
+    coalesce(avg(power(h3 - t3, 2)), 0) AS baseline_top3,
+    coalesce(avg(power(hp - pt, 2)), 0) AS baseline_points,
+    coalesce(avg(abs(expected_position - actual)), 0) AS position_error,
+    coalesce(avg(CAST(abs(position - actual) AS DOUBLE)), 0) AS baseline_position_error
+  FROM (SELECT session_id, count(*) AS total FROM preds GROUP BY 1) s
+    LEFT JOIN pair USING (session_id) GROUP BY s.session_id),
+skilled AS (
+  SELECT *, CASE WHEN baseline_top3 <= 0 THEN
+      CASE WHEN brier_top3 <= 0 THEN CAST(0 AS DOUBLE) ELSE CAST('-inf' AS DOUBLE) END
+      ELSE 1 - brier_top3 / baseline_top3 END AS skill_top3,
+    CASE WHEN baseline_points <= 0 THEN
+      CASE WHEN brier_points <= 0 THEN CAST(0 AS DOUBLE) ELSE CAST('-inf' AS DOUBLE) END
+      ELSE 1 - brier_points / baseline_points END AS skill_points
+  FROM card)"""
+)

@@ -296,3 +296,52 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("ts").isNull().alias("is_snapshot"),
     )
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome draws made of laps: four options per race, a draw every four laps."""
+    rows = laps(spark, sf_dir, position=True, stints=False)
+    step = chunk_span(feed(spark, sf_dir))
+    millis = F.round(F.coalesce("lap_time", F.lit(120.0)) * 1000).cast("bigint")
+    timed = running(rows, ["session_id", "driver"], "seq", sums={"millis": millis}, span=step)
+    return timed.select(
+        "session_id",
+        (F.col("lap") % 4).alias("option_id"),
+        F.floor(F.col("lap") / 4).alias("draw"),
+        "driver",
+        (F.col("millis") / 1000).alias("elapsed"),
+        "retired",
+        F.col("lap").alias("retired_on"),
+        "position",
+        "total_laps",
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction per car, made from the first half of its race."""
+    rows = laps(spark, sf_dir, position=True, stints=False)
+    half = rows.where(F.col("lap") * 2 <= F.col("total_laps"))
+    place = F.col("position")
+    return half.groupBy("session_id", "driver").agg(
+        F.avg((place <= 3).cast("double")).alias("p_top3"),
+        F.avg((place <= 10).cast("double")).alias("p_points"),
+        F.avg(place.cast("double")).alias("expected_position"),
+        F.max_by("position", "lap").alias("position"),
+        F.max("lap").alias("lap"),
+        F.max("total_laps").alias("total_laps"),
+    )
+
+
+def finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finish per car: rank by summed value; retired cars have none."""
+    rows = laps(spark, sf_dir, stints=False)
+    per_car = rows.groupBy("session_id", "driver").agg(
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("score"),
+        F.bool_or("retired").alias("out"),
+    )
+    step = chunk_span(feed(spark, sf_dir))
+    chunk = -F.floor(F.col("score") / 1000) if step else None
+    placed = ranked(
+        per_car, ["session_id"], [F.desc("score"), F.col("driver")], chunk, "actual"
+    )
+    return placed.where(~F.col("out")).select("session_id", "driver", "actual")
