@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapstream.functions import race, text
-from lapstream.operators import fold, laps
+from lapstream.operators import fold, laps, tree
 from lapstream.operators.clean import was_neutralised
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED_LAPS, MSG, last_of, last_so_far
@@ -51,6 +51,60 @@ def fold_latest(spark, sf_dir):
     return fold.last_states(deltas, fold.CAR, "seq", {f: F.col(f) for f in fields})
 
 
+STINT_FIELDS = """
+  SELECT session_id, seq, car, k // 34 AS stint, 'Compound' AS field,
+    CASE k % 4 WHEN 1 THEN '"SOFT"' WHEN 2 THEN '"hard"' WHEN 3 THEN '"TEST_UNKNOWN"' END AS value
+  FROM msg WHERE topic = 'TimingAppData'
+  UNION ALL SELECT session_id, seq, car, k // 34, 'New', CASE WHEN k % 2 = 0 THEN '"false"' END
+  FROM msg WHERE topic = 'TimingAppData'
+  UNION ALL SELECT session_id, seq, car, k // 34, 'TotalLaps',
+    CASE WHEN k % 5 <> 0 THEN CAST(k % 30 AS VARCHAR) END FROM msg WHERE topic = 'TimingAppData'"""
+
+
+@query(
+    "c1_fold_tree",
+    f"""WITH {MSG}, f AS ({STINT_FIELDS})
+    SELECT session_id, 'Lines/' || car || '/Stints/' || stint || '/' || field AS path,
+      arg_max(value, seq) AS value FROM f WHERE value IS NOT NULL GROUP BY session_id, car, stint, field
+    UNION ALL SELECT session_id, 'Status', '"' || arg_max(k % 9, seq) || '"'
+      FROM msg WHERE topic = 'TrackStatus' GROUP BY session_id
+    """,
+)
+def fold_tree(spark, sf_dir):
+    """Leaves of the tyre and status trees after every message."""
+    events = _events(spark, sf_dir).where(F.col("topic").isin("TimingAppData", "TrackStatus"))
+    leaves = tree.fold_tree(events, standins.span(spark, sf_dir)).where("kind = 'scalar'")
+    return leaves.select("session_id", F.array_join("path", "/").alias("path"), "value")
+
+
+@query(
+    "c2_list_patches",
+    f"""WITH {MSG}, r AS (SELECT session_id, max(CASE WHEN k % 7 = 0 THEN seq END) AS base FROM msg
+        GROUP BY session_id HAVING base IS NOT NULL),
+      w AS (SELECT m.session_id, seq, k, unnest(CASE WHEN k % 7 = 0 THEN [0, 1] ELSE [k % 5] END) AS place
+        FROM msg m JOIN r ON m.session_id = r.session_id AND m.seq >= base),
+      e AS (SELECT session_id, place, arg_max(k, seq) AS v FROM w GROUP BY 1, 2),
+      n AS (SELECT session_id, CAST(unnest(generate_series(0, max(place))) AS BIGINT) AS place FROM e
+        GROUP BY session_id)
+    SELECT session_id, string_agg(coalesce(CAST(v AS VARCHAR), 'null'), ',' ORDER BY place) AS elements
+    FROM n LEFT JOIN e USING (session_id, place) GROUP BY session_id""",
+)
+def list_patches(spark, sf_dir):
+    """A list that is replaced now and then and patched by index in between."""
+    k = F.col("k")
+    whole = F.to_json(F.struct(F.array(k, k).alias("S")))
+    patch = F.to_json(F.struct(F.create_map((k % 5).cast("string"), k).alias("S")))
+    rows = standins.messages(spark, sf_dir).select(
+        "session_id",
+        "seq",
+        F.lit("List").alias("topic"),
+        F.parse_json(F.when(k % 7 == 0, whole).otherwise(patch)).alias("payload"),
+    )
+    lists = tree.list_arrays(tree.fold_tree(rows, standins.span(spark, sf_dir)))
+    shown = F.transform("elements", lambda e: F.coalesce(e, F.lit("null")))
+    return lists.select("session_id", F.array_join(shown, ",").alias("elements"))
+
+
 @query(
     "c3_fold_as_of",
     f"""WITH {MSG} SELECT session_id, car, seq, {last_so_far("position", CAR_KEYS)} AS position,
