@@ -8,5 +8,6 @@ from lapstream.plans import (  # noqa: F401
     queries_outcomes,
     queries_pace,
     queries_sources,
+    queries_streaming,
 )
 from lapstream.plans.registry import ORACLES, QUERIES  # noqa: F401
