@@ -1,6 +1,7 @@
 """All registered queries; importing a module registers its queries."""
 
 from lapstream.plans import (  # noqa: F401
+    queries_backtest,
     queries_board,
     queries_clean,
     queries_feed,
