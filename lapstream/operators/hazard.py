@@ -35,32 +35,26 @@ def from_history(history: DataFrame, race: str = "race_id") -> dict[str, DataFra
     Columns missing from the records count as absent data.
     """
 
-    def long(name: str) -> DataFrame:
-        if name not in history.columns:
-            return history.select(race, F.lit(None).cast("bigint").alias("lap")).limit(0)
-        return history.select(race, F.explode(name).cast("bigint").alias("lap")).distinct()
+    def laps_of(name: str) -> DataFrame:
+        held = F.col(name) if name in history.columns else F.array()
+        return history.select(race, F.explode(held.cast("array<bigint>")).alias("lap"))
 
     def both(part: str) -> DataFrame:
-        return long(f"sc_{part}").withColumn("kind", F.lit("sc")).unionByName(
-            long(f"vsc_{part}").withColumn("kind", F.lit("vsc"))
-        )
+        kinds = [
+            laps_of(f"{kind}_{part}").distinct().withColumn("kind", F.lit(kind))
+            for kind in KINDS["any"]
+        ]
+        return kinds[0].unionByName(kinds[1])
 
     def plain(name: str) -> Column:
-        return F.col(name) if name in history.columns else F.lit(None).cast("bigint")
+        held = F.col(name) if name in history.columns else F.lit(None)
+        return held.cast("bigint").alias(name)
 
-    races = history.select(
-        race,
-        "circuit",
-        plain("total_laps").alias("total_laps"),
-        plain("starters").alias("starters"),
-    )
-    out = plain("retirements") if "retirements" in history.columns else F.array()
-    stopped = history.select(race, F.explode(out).cast("bigint").alias("lap"))
     return {
-        "races": races,
+        "races": history.select(race, "circuit", plain("total_laps"), plain("starters")),
         "starts": both("starts"),
         "active": both("laps"),
-        "retirements": stopped,
+        "retirements": laps_of("retirements"),
     }
 
 

@@ -26,12 +26,13 @@ def append_predictions(predictions: DataFrame, path: str) -> None:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """All readable log lines; none where there is no log yet."""
-    reader = spark.read.schema(f"{SCHEMA}, _corrupt_record string")
     try:
-        lines = reader.json(path, mode="PERMISSIVE")
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMA)
-    # An unreadable line carries its text and nothing else.
-    return lines.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "slug")
+    # An unreadable line carries its own text and nothing else.
+    parsed = F.from_json("value", f"{SCHEMA}, _corrupt_record string")
+    opened = lines.where(F.trim("value") != "").select(parsed.alias("p")).select("p.*")
+    return opened.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
