@@ -256,17 +256,18 @@ def timing_as_of(deltas: DataFrame, **scan: int | None) -> DataFrame:
 
 def timing_state(deltas: DataFrame) -> DataFrame:
     """Final timing state, one row per car."""
-    latest = last_states(deltas, CAR, "seq", {f: F.col(f) for f in TIMING_FIELDS})
+    latest = last_states(
+        deltas, CAR, "seq", {f: F.col(f) for f in TIMING_FIELDS}, first="first_seen"
+    )
     return _timing_view(latest)
 
 
 def driver_state(deltas: DataFrame) -> DataFrame:
     """Driver dimension. A full name wins over a broadcast name when both are known."""
-    latest = last_states(
-        deltas, CAR, "seq", {c: F.col(c) for c in ("tla", "full_name", "broadcast_name", "team")}
-    )
+    fields = ("tla", "full_name", "broadcast_name", "team")
+    latest = last_states(deltas, CAR, "seq", {c: F.col(c) for c in fields}, first="first_seen")
     return latest.select(
-        *CAR, "tla", F.coalesce("full_name", "broadcast_name").alias("name"), "team"
+        *CAR, "tla", F.coalesce("full_name", "broadcast_name").alias("name"), "team", "first_seen"
     )
 
 
@@ -277,7 +278,9 @@ def stint_state(deltas: DataFrame) -> DataFrame:
     entry per stint run.
     """
     fields = ("compound", "is_new", "start_laps", "total_laps")
-    each = last_states(deltas, [*CAR, "stint"], "seq", {f: F.col(f) for f in fields})
+    each = last_states(
+        deltas, [*CAR, "stint"], "seq", {f: F.col(f) for f in fields}, first="first_seen"
+    )
     unset = {"compound": F.lit("UNKNOWN"), "is_new": F.lit(True)}
     unset |= {f: F.lit(0).cast("bigint") for f in ("start_laps", "total_laps")}
     entry = F.struct(*[F.coalesce(f, unset[f]).alias(f) for f in fields])
@@ -285,12 +288,13 @@ def stint_state(deltas: DataFrame) -> DataFrame:
     gathered = each.groupBy(*CAR).agg(
         F.map_from_entries(F.collect_list(F.struct("stint", entry))).alias("known"),
         F.max("stint").alias("top"),
+        F.min("first_seen").alias("first_seen"),
     )
     filled = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("top")),
         lambda i: F.coalesce(F.try_element_at("known", i), blank),
     )
-    return gathered.select(*CAR, filled.alias("stints"))
+    return gathered.select(*CAR, filled.alias("stints"), "first_seen")
 
 
 def session_state(deltas: DataFrame) -> DataFrame:
@@ -341,8 +345,17 @@ def status_spans(deltas: DataFrame, **scan: int | None) -> DataFrame:
 
 
 def car_state(timing: DataFrame, stints: DataFrame, drivers: DataFrame) -> DataFrame:
-    """One row per car: timing, tyres and names side by side."""
-    both = timing.join(stints, list(CAR), "full").join(drivers, list(CAR), "full")
+    """One row per car: timing, tyres and names side by side.
+
+    ``first_seen``, the first event to mention the car, breaks ties in the order.
+    """
+    parts = [
+        part.withColumnRenamed("first_seen", f"_seen_{i}")
+        for i, part in enumerate((timing, stints, drivers))
+    ]
+    both = parts[0].join(parts[1], list(CAR), "full").join(parts[2], list(CAR), "full")
+    both = both.withColumn("first_seen", F.least("_seen_0", "_seen_1", "_seen_2"))
+    both = both.drop("_seen_0", "_seen_1", "_seen_2")
     zero = F.lit(0).cast("bigint")
     return both.withColumns(
         {
@@ -356,15 +369,6 @@ def car_state(timing: DataFrame, stints: DataFrame, drivers: DataFrame) -> DataF
     )
 
 
-def first_seen(*deltas: DataFrame) -> DataFrame:
-    """First event that mentions each car; breaks ties in the running order."""
-    seen = [d.groupBy(*CAR).agg(F.min("seq").alias("seq")) for d in deltas]
-    stacked = seen[0]
-    for more in seen[1:]:
-        stacked = stacked.unionByName(more)
-    return stacked.groupBy(*CAR).agg(F.min("seq").alias("first_seen"))
-
-
 def order_columns() -> list[Column]:
     """Classified cars by position, unclassified last; position 0 counts as far back."""
     place = F.when(F.col("position") == 0, UNPLACED).otherwise(F.col("position"))

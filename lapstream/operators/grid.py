@@ -24,7 +24,7 @@ LADDER_GAP = 0.6
 DELAYS = (0, 3, 6, 10)
 UNDERCUT_WINDOW = 4.0
 
-CHUNK_CARS = 4096
+CHUNK_CARS = 512
 
 
 def _order_chunk() -> Column:

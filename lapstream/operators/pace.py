@@ -61,16 +61,28 @@ def fit_groups(usable: DataFrame, keys: Sequence[str]) -> DataFrame:
 def compound_usage(usable: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
     """Laps per known compound, with its median lap; at most five rows per fit.
 
-    The reference compound is the most used one, the first seen on a tie.
+    The reference compound is the most used one, the first seen on a tie. Laps are
+    counted per lap number first, so the exact median is read off a running count
+    over lap numbers and never off the laps themselves.
     """
-    used = (
+    by = [*keys, "compound"]
+    per_lap = (
         usable.where(_known())
-        .groupBy(*keys, "compound")
-        .agg(
-            F.count(F.lit(1)).alias("laps"),
-            F.min(order).alias("first_seen"),
-            F.median("lap").alias("phase"),
-        )
+        .groupBy(*by, "lap")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
+    )
+    along = Window.partitionBy(*by).orderBy("lap")
+    whole = Window.partitionBy(*by)
+    counted = per_lap.withColumns({"upto": F.sum("n").over(along), "laps": F.sum("n").over(whole)})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("lap")))
+
+    used = counted.groupBy(*by, "laps").agg(
+        F.min("first_seen").alias("first_seen"),
+        (
+            (at(F.floor((F.col("laps") - 1) / 2)) + at(F.floor(F.col("laps") / 2))) / 2
+        ).alias("phase"),
     )
     best = Window.partitionBy(*keys).orderBy(F.desc("laps"), "first_seen")
     return used.withColumn("is_reference", F.row_number().over(best) == 1)

@@ -186,12 +186,19 @@ def ranked(
 
 
 def last_states(
-    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: Mapping[str, Column],
+    first: str | None = None,
 ) -> DataFrame:
-    """Latest non-NULL value of each column per key, as one combined aggregate."""
-    return df.groupBy(*keys).agg(
-        *[
-            F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(name)
-            for name, value in values.items()
-        ]
-    )
+    """Latest non-NULL value of each column per key, as one combined aggregate.
+
+    ``first`` names a column for the lowest order value of the key.
+    """
+    latest = [
+        F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(name)
+        for name, value in values.items()
+    ]
+    start = [F.min(order).alias(first)] if first else []
+    return df.groupBy(*keys).agg(*latest, *start)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapstream.operators import board, fold
+from lapstream.operators import board, fold, laps
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED, FEED_LAPS, LAPS, MSG
-from lapstream.plans.queries_feed import _cars, _events, feed_laps
+from lapstream.plans.queries_feed import _events
 from lapstream.plans.queries_pace import cleaned, fits
 from lapstream.plans.registry import query, r6
+from lapstream.session import cut_lineage
 
 TREND = """trend AS (
   SELECT session_id, driver, list(lt ORDER BY seq) AS trend FROM (
@@ -115,9 +116,19 @@ def stint_bar(spark, sf_dir):
     FROM cars LEFT JOIN ftrend USING (session_id, car) WHERE position IS NOT NULL OR tla <> ''""",
 )
 def board_rows(spark, sf_dir):
-    timing = fold.timing_deltas(_events(spark, sf_dir))
-    trends = board.recent_laps(feed_laps(spark, sf_dir))
-    found = board.board_rows(_cars(spark, sf_dir), trends, board.grid_positions(timing))
+    # Payloads are opened once; state, laps and grid all read the opened rows.
+    events = _events(spark, sf_dir)
+    timing = cut_lineage(fold.timing_deltas(events), "timing")
+    stints = cut_lineage(fold.stint_deltas(events), "stints")
+    drivers = cut_lineage(fold.driver_deltas(events), "drivers")
+    cars = fold.car_state(
+        fold.timing_state(timing), fold.stint_state(stints), fold.driver_state(drivers)
+    )
+    found_laps = laps.extract_laps(
+        timing, stints, drivers, fold.session_deltas(events), standins.span(spark, sf_dir)
+    )
+    trends = board.recent_laps(found_laps)
+    found = board.board_rows(cars, trends, board.grid_positions(timing))
     return found.select(
         "session_id", "car", "position", "code", "last", "gap", "interval", "in_pit", "out",
         F.size("trend").alias("trend_laps"), "delta",

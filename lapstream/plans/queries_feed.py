@@ -19,13 +19,11 @@ def _events(spark, sf_dir):
 
 def _cars(spark, sf_dir):
     events = _events(spark, sf_dir)
-    timing, stints = fold.timing_deltas(events), fold.stint_deltas(events)
-    drivers = fold.driver_deltas(events)
-    cars = fold.car_state(
-        fold.timing_state(timing), fold.stint_state(stints), fold.driver_state(drivers)
+    return fold.car_state(
+        fold.timing_state(fold.timing_deltas(events)),
+        fold.stint_state(fold.stint_deltas(events)),
+        fold.driver_state(fold.driver_deltas(events)),
     )
-    seen = fold.first_seen(timing, stints, drivers)
-    return cars.join(seen, list(fold.CAR))
 
 
 def feed_laps(spark, sf_dir):
@@ -180,7 +178,7 @@ def status_spans(spark, sf_dir):
 
 @query("c8_driver_dimension", f"WITH {CARS} SELECT session_id, car, tla, name, team FROM nstate")
 def driver_dimension(spark, sf_dir):
-    return fold.driver_state(fold.driver_deltas(_events(spark, sf_dir)))
+    return fold.driver_state(fold.driver_deltas(_events(spark, sf_dir))).drop("first_seen")
 
 
 @query(
@@ -202,7 +200,7 @@ def weather(spark, sf_dir):
 def timing_projection(spark, sf_dir):
     state = fold.timing_state(fold.timing_deltas(_events(spark, sf_dir)))
     return state.withColumn("last_lap_time", r6("last_lap_time")).drop(
-        "pit_count", "best_lap_time", "stopped"
+        "pit_count", "best_lap_time", "stopped", "first_seen"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapstream.operators.scan import chunk_span, ranked, running, with_chunk
+from lapstream.session import spread
 
 
 def span(spark: SparkSession, sf_dir: str) -> int | None:
@@ -273,7 +274,7 @@ def message_topic() -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed messages as text: session_id, seq, ts, topic, payload_json."""
-    rows = feed(spark, sf_dir).withColumnRenamed("topic", "event_type")
+    rows = spread(feed(spark, sf_dir)).withColumnRenamed("topic", "event_type")
     rows = rows.withColumn("car", _number(F.col("driver")))
     return rows.select(
         _number(F.col("session_id")).alias("session_id"),

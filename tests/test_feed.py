@@ -69,11 +69,11 @@ def events(spark, tmp_path):
 
 
 def state_of(events):
-    parts = fold.timing_deltas(events), fold.stint_deltas(events), fold.driver_deltas(events)
-    cars = fold.car_state(
-        fold.timing_state(parts[0]), fold.stint_state(parts[1]), fold.driver_state(parts[2])
+    return fold.car_state(
+        fold.timing_state(fold.timing_deltas(events)),
+        fold.stint_state(fold.stint_deltas(events)),
+        fold.driver_state(fold.driver_deltas(events)),
     )
-    return cars.join(fold.first_seen(*parts), list(fold.CAR))
 
 
 def laps_of(events, span=None):
