@@ -103,12 +103,20 @@ def pace_fit(spark, sf_dir):
 
 @query(
     "g6_fit_quality",
-    # Total variation needs no solve, so SQL can confirm it and the sample.
-    f"""WITH {FIT} SELECT session_id, n_laps, round(var_pop(lap_time) * count(*), 4) AS ss_tot
+    # Spread of the lap times needs no solve, so SQL can confirm it and the sample.
+    f"""WITH {FIT} SELECT session_id, n_laps, round(stddev_pop(lap_time), 6) AS total_std
       FROM rows JOIN fits USING (session_id) GROUP BY 1, 2""",
 )
 def fit_quality(spark, sf_dir):
-    return fits(spark, sf_dir).select("session_id", "n_laps", F.round("ss_tot", 4).alias("ss_tot"))
+    spread = F.sqrt(F.col("ss_tot") / F.col("n_laps"))
+    return fits(spark, sf_dir).select("session_id", "n_laps", r6(spread).alias("total_std"))
+
+
+@query("g6_residuals")
+def residuals(spark, sf_dir):
+    return fits(spark, sf_dir).select(
+        "session_id", r6("residual_std").alias("residual_std"), r6("r_squared").alias("r_squared")
+    )
 
 
 @query("g7_coefficients")
