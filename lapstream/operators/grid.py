@@ -15,6 +15,7 @@ from lapstream.functions.text import (
 )
 from lapstream.operators.fold import UNPLACED, order_columns
 from lapstream.operators.scan import ranked
+from lapstream.session import cut_lineage
 
 # Spacing in seconds where a gap says nothing, and per lap down.
 LAPPED_PENALTY = 40.0
@@ -113,9 +114,9 @@ def ordered_gaps(cars: DataFrame, keys: Sequence[str] = ("session_id",), chunk:
     same = F.struct(
         F.lit(float("-inf")).alias("limit"), F.lit(0.0).alias("value"), F.lit(0.0).alias("step")
     )
-    blocks = blocks.withColumn(
-        "rule", _fold(F.col("cars"), same, lambda acc, c: _compose(acc, c["rule"]))
-    )
+    composed = _fold(F.col("cars"), same, lambda acc, c: _compose(acc, c["rule"]))
+    # Read twice below: once to chain the chunks, once to walk them.
+    blocks = cut_lineage(blocks.withColumn("rule", composed), "blocks")
     # One composed rule per chunk: short even for a very large field.
     chain = blocks.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("chunk", "rule"))).alias("chain")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lapstream.functions.race import BUCKETS, phase_array, phase_laps, race_bucket
 from lapstream.functions.text import normalise_circuit
+from lapstream.session import cut_lineage
 
 # Prior weights in expected events, and the sample sizes below
 # which a fit carries a warning.
@@ -256,13 +257,15 @@ def hazard_curves(counts: DataFrame, shrinkage: float) -> DataFrame:
     base = phases.agg(F.map_from_entries(pairs)).scalar()
     plain = phases.select(F.lit(ANY_CIRCUIT).alias("circuit"), F.lit(1.0).alias("factor"))
     factors = circuit_factors(counts, shrinkage).unionByName(plain.distinct())
-    return factors.withColumn("base", base).select(
+    curves = factors.withColumn("base", base).select(
         "circuit",
         "factor",
         F.transform_values(
             "base", lambda _, h: F.least(F.lit(1.0), h * F.col("factor"))
         ).alias("curve"),
     )
+    # A fitted model: one row per circuit, looked up twice by every question.
+    return cut_lineage(curves, "curves")
 
 
 def with_curve(asked: DataFrame, curves: DataFrame) -> DataFrame:

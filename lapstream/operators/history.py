@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapstream.functions.text import RED_FLAG, SAFETY_CAR, VIRTUAL_SAFETY_CAR
+from lapstream.session import cut_lineage
 
 # Flag columns and the status code behind each.
 FLAGS = {"sc": SAFETY_CAR, "vsc": VIRTUAL_SAFETY_CAR, "red": RED_FLAG}
@@ -54,33 +57,35 @@ def starters(results: DataFrame, race: str = "session_id") -> DataFrame:
     return results.groupBy(race).agg(F.count(F.lit(1)).alias("starters"))
 
 
-def _laps_array(found: DataFrame, race: str, name: str, distinct: bool = True) -> DataFrame:
-    gather = F.collect_set if distinct else F.collect_list
-    return found.groupBy(race).agg(F.array_sort(gather("lap")).alias(name))
-
-
 def race_history(
     observed: DataFrame, results: DataFrame, dimension: DataFrame, race: str = "session_id"
 ) -> DataFrame:
     """One record per race in the shape of the history file.
 
-    The arrays hold lap numbers of one race, no more than the race is long; the
-    models read the long tables and never need them.
+    All laps a record lists are stacked first and gathered in one aggregate. The
+    arrays hold lap numbers of one race, no more than the race is long; the models
+    read the long tables and never need them.
     """
-    statuses = lap_statuses(observed, race)
-    record = dimension.join(race_totals(observed, race), race)
+    statuses = cut_lineage(lap_statuses(observed, race), "statuses")
+    listed = [retirements(results, observed, race).select(race, "lap", F.lit("retirements").alias("tag"))]
     for flag in FLAGS:
         active = laps_with(statuses, flag, race)
-        record = record.join(_laps_array(active, race, f"{flag}_laps"), race, "left")
-        starts = period_starts(active, race)
-        record = record.join(_laps_array(starts, race, f"{flag}_starts"), race, "left")
-    stopped = _laps_array(retirements(results, observed, race), race, "retirements", False)
-    record = record.join(starters(results, race), race, "left").join(stopped, race, "left")
-    lists = [f"{f}_{part}" for f in FLAGS for part in ("laps", "starts")] + ["retirements"]
+        listed.append(active.withColumn("tag", F.lit(f"{flag}_laps")))
+        listed.append(period_starts(active, race).withColumn("tag", F.lit(f"{flag}_starts")))
+    tags = ["retirements", *[f"{f}_{part}" for f in FLAGS for part in ("laps", "starts")]]
+    stacked = reduce(DataFrame.unionByName, listed)
+    arrays = stacked.groupBy(race).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.col("lap")))).alias(t) for t in tags]
+    )
+    record = (
+        dimension.join(race_totals(observed, race), race)
+        .join(starters(results, race), race, "left")
+        .join(arrays, race, "left")
+    )
     empty = F.array().cast("array<bigint>")
     return record.withColumns(
         {
-            **{n: F.coalesce(n, empty) for n in lists},
+            **{t: F.coalesce(t, empty) for t in tags},
             "starters": F.coalesce("starters", F.lit(0).cast("bigint")),
         }
     )

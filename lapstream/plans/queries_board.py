@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapstream.operators import board, fold, laps
+from lapstream.operators import board, fold, laps, pace
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED, FEED_LAPS, LAPS, MSG
 from lapstream.plans.queries_feed import _events
-from lapstream.plans.queries_pace import cleaned, fits
+from lapstream.plans.queries_pace import cleaned
 from lapstream.plans.registry import query, r6
 from lapstream.session import cut_lineage
 
@@ -137,7 +137,8 @@ def board_rows(spark, sf_dir):
 
 @query("n7_model_summary")
 def model_summary(spark, sf_dir):
-    found = board.model_summary(fits(spark, sf_dir), cleaned(spark, sf_dir))
+    clean = cut_lineage(cleaned(spark, sf_dir), "clean")
+    found = board.model_summary(pace.fit_pace(clean), clean)
     return found.drop("degradation", "warnings")
 
 

@@ -227,7 +227,9 @@ def stint_projection(spark, sf_dir):
 def running_order(spark, sf_dir):
     from lapstream.operators import grid
 
-    return grid.with_place(_cars(spark, sf_dir)).select("session_id", "car", "place")
+    small = standins.span(spark, sf_dir) is None
+    placed = grid.with_place(_cars(spark, sf_dir), small=small)
+    return placed.select("session_id", "car", "place")
 
 
 @query("c13_by_code", f"WITH {CARS} SELECT session_id, car FROM cars WHERE tla = 'T42'")

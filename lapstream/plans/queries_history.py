@@ -314,14 +314,14 @@ def period_starts(spark, sf_dir):
 
 @query("j4_retirements", f"WITH {RACES} SELECT session_id, driver, lap FROM gone")
 def retirements(spark, sf_dir):
-    return history.retirements(standins.results(spark, sf_dir), standins.observed(spark, sf_dir))
+    observed = standins.observed(spark, sf_dir)
+    return history.retirements(standins.results(observed), observed)
 
 
 def _history(spark, sf_dir):
     races = standins.races(spark, sf_dir).select("session_id", "circuit")
-    return history.race_history(
-        standins.observed(spark, sf_dir), standins.results(spark, sf_dir), races
-    )
+    observed = cut_lineage(standins.observed(spark, sf_dir), "observed")
+    return history.race_history(observed, standins.results(observed), races)
 
 
 LISTS = ("sc_laps", "vsc_laps", "sc_starts", "vsc_starts", "retirements")

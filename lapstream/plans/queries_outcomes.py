@@ -10,6 +10,7 @@ from lapstream.plans import standins
 from lapstream.plans.oracle_views import CARS, DRAWS, LAPS, PREDS
 from lapstream.plans.queries_feed import _cars
 from lapstream.plans.registry import joined, query, r6
+from lapstream.session import cut_lineage
 
 # Cars of the feed in running order; the interval text plays the gap, since it
 # holds both seconds and laps down.
@@ -36,13 +37,13 @@ walk AS (
 def _placed(spark, sf_dir):
     cars = _cars(spark, sf_dir).withColumn("gap_to_leader", F.col("interval_text"))
     small = standins.span(spark, sf_dir) is None
-    return grid.with_place(cars, small=small)
+    return cut_lineage(grid.with_place(cars, small=small), "placed")
 
 
 def _timed(spark, sf_dir):
     placed = _placed(spark, sf_dir)
     times = grid.ordered_gaps(placed)
-    return placed.drop("place").join(times, ["session_id", "car"])
+    return cut_lineage(placed.drop("place").join(times, ["session_id", "car"]), "timed")
 
 
 def _pace(spark, sf_dir):
@@ -227,7 +228,8 @@ AHEAD = """ahead AS (
       round(probability, 6) AS probability FROM ahead""",
 )
 def ahead_of(spark, sf_dir):
-    found = outcomes.ahead_of(standins.draws(spark, sf_dir), _subjects(spark, sf_dir))
+    draws = cut_lineage(standins.draws(spark, sf_dir), "draws")
+    found = outcomes.ahead_of(draws, _subjects(spark, sf_dir))
     return found.withColumn("probability", r6("probability"))
 
 
@@ -245,7 +247,8 @@ def probability_retired(spark, sf_dir):
 
 
 def _board(spark, sf_dir):
-    return outcomes.option_scoreboard(standins.draws(spark, sf_dir), _subjects(spark, sf_dir))
+    draws = cut_lineage(standins.draws(spark, sf_dir), "draws")
+    return outcomes.option_scoreboard(draws, _subjects(spark, sf_dir))
 
 
 CHANCES = ("mean_position", "p_top3", "p_points", "p_gain", "p_retire")
@@ -298,7 +301,8 @@ def threat_ranking(spark, sf_dir):
     candidates = cars.join(
         subjects.select("session_id", F.col("driver").alias("subject")), "session_id"
     ).where((F.col("driver") != F.col("subject")) & (F.col("driver") % 3 == 0))
-    found = outcomes.threat_ranking(standins.draws(spark, sf_dir), candidates)
+    draws = cut_lineage(standins.draws(spark, sf_dir), "draws")
+    found = outcomes.threat_ranking(draws, candidates)
     return found.withColumn("probability", r6("probability"))
 
 

@@ -141,13 +141,10 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(observed_laps: DataFrame) -> DataFrame:
     """One classification row per car: ``R`` for a retirement, else ``F``."""
-    return (
-        observed(spark, sf_dir)
-        .groupBy("session_id", "driver")
-        .agg(F.when(F.bool_or("retired"), "R").otherwise("F").alias("classified"))
-    )
+    out = F.when(F.bool_or("retired"), "R").otherwise("F")
+    return observed_laps.groupBy("session_id", "driver").agg(out.alias("classified"))
 
 
 def races(spark: SparkSession, sf_dir: str) -> DataFrame:

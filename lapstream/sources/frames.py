@@ -61,12 +61,13 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     stacked = snapshot.unionByName(feed)
     packed = is_packed(F.col("topic"))
     text = F.try_variant_get("payload", "$", "string")
-    plain = stacked.where(~packed)
-    unpacked = stacked.where(packed).withColumn("payload", packed_payload(text))
+    opened = stacked.withColumns({"_packed": packed, "_opened": packed_payload(text, packed)})
+    opened = opened.withColumn(
+        "payload", F.when(F.col("_packed"), F.col("_opened")).otherwise(F.col("payload"))
+    )
     ordered = F.shiftleft(F.col("frame"), PART_BITS) + F.shiftleft("part", TOPIC_BITS)
     return (
-        plain.unionByName(unpacked)
-        .where(F.col("payload").isNotNull())
+        opened.where(F.col("payload").isNotNull())
         .select(
             "session_id",
             (ordered + F.col("place")).alias("seq"),
@@ -80,8 +81,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
 
 
 def message_lag(events: DataFrame) -> DataFrame:
-    """Seconds between the stamp on a message and its arrival."""
-    micros = F.unix_micros(F.col("arrival").cast("timestamp")) - F.unix_micros(
-        F.col("ts").cast("timestamp")
-    )
+    """Seconds between the stamp on a message (UTC, kept without a zone) and its arrival."""
+    stamped = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    micros = F.unix_micros(F.col("arrival").cast("timestamp")) - F.unix_micros(stamped)
     return events.withColumn("lag", micros / 1e6)

@@ -137,30 +137,28 @@ def text_payload(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), text.cast("variant"))
 
 
-def packed_payload(text: Column) -> Column:
-    return F.try_parse_json(inflate(F.try_to_binary(text, F.lit("base64"))))
+def packed_payload(text: Column, packed: Column) -> Column:
+    """Payload of a packed topic; rows that are not packed hand no bytes to Python."""
+    blob = F.when(packed, F.try_to_binary(text, F.lit("base64")))
+    return F.try_parse_json(inflate(blob))
 
 
 def to_events(decoded: DataFrame) -> DataFrame:
     """Feed events from decoded lines; packed payloads that cannot be read are dropped.
 
-    Only packed rows take the Python step. Packed and plain rows are separate
-    branches, so nothing else crosses into Python.
+    One pass: lines are decoded once, whatever their topic.
     """
     good = readable(decoded)
-    packed = is_packed(F.col("topic"))
+    packed = is_packed(F.col("topic")) & F.col("is_text")
     text = F.col("payload")
-    plain = good.where(~packed | ~F.col("is_text")).withColumn(
-        "payload",
-        F.when(F.col("is_text"), text_payload(text)).otherwise(F.try_parse_json(text)),
-    )
-    unpacked = good.where(packed & F.col("is_text")).withColumn("payload", packed_payload(text))
-    both = plain.unionByName(unpacked.where(F.col("payload").isNotNull()))
-    return both.select(
+    plain = F.when(F.col("is_text"), text_payload(text)).otherwise(F.try_parse_json(text))
+    opened = good.withColumns({"_packed": packed, "_opened": packed_payload(text, packed)})
+    opened = opened.where(~F.col("_packed") | F.col("_opened").isNotNull())
+    return opened.select(
         "session_id",
         "seq",
         plain_topic(F.col("topic")).alias("topic"),
-        "payload",
+        F.when(F.col("_packed"), F.col("_opened")).otherwise(plain).alias("payload"),
         parse_timestamp(F.col("ts_raw")).alias("ts"),
     ).withColumn("is_snapshot", F.col("ts").isNull())
 
