@@ -187,15 +187,17 @@ def fuel_corrected(spark, sf_dir):
     )
 
 
-# Stand-in for a measured trend: the clean laps' plain slope of time over lap.
+# Stand-in for a measured trend: the clean laps' plain slope of time over lap,
+# NULL where all of them are the same lap.
 TREND = f"""WITH {BEST}, trend AS (SELECT session_id, max(total_laps) AS total_laps,
-  regr_slope(lap_time, lap) AS slope FROM clean GROUP BY session_id)"""
+  covar_pop(lap_time, lap) / nullif(var_pop(lap), 0) AS slope FROM clean GROUP BY session_id)"""
 
 
 def _trend(spark, sf_dir):
     usable = clean.clean_laps(classified(spark, sf_dir))
+    slope = F.covar_pop("lap_time", "lap") / F.nullif(F.var_pop("lap"), F.lit(0.0))
     return usable.groupBy("session_id").agg(
-        F.max("total_laps").alias("total_laps"), F.regr_slope("lap_time", "lap").alias("slope")
+        F.max("total_laps").alias("total_laps"), slope.alias("slope")
     )
 
 
