@@ -81,7 +81,8 @@ def running(
     lasts   last non-NULL value so far      lags    value on the row before
 
     ``chunk`` names a column from :func:`with_chunk`; it is kept, so a further
-    pass over the same keys finds its rows already in place.
+    pass over the same keys finds its rows already in place. Keys and order must
+    not be NULL: the carry is joined back on them.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     lasts, lags = dict(lasts or {}), dict(lags or {})

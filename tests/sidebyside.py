@@ -66,7 +66,7 @@ def main() -> int:
     import __spark_entry__ as entry
 
     sf_dir, prefixes = sys.argv[1], tuple(sys.argv[2:])
-    spark = local_session("8")
+    spark = local_session(os.environ.get("SIDE_CPUS", "8"), int(os.environ.get("SIDE_PARTITIONS", "8")))
     con = oracle(sf_dir)
     sqls = entry.oracle_sql()
     failed = 0
