@@ -1,15 +1,17 @@
-"""BPE encoding and decoding over a table of distinct words.
+"""BPE encoding and decoding over tables of distinct words.
 
-Texts are split into words by the tokenizer's own splitter. A task collects about
-``BLOCK_WORDS`` words into a block: the distinct words of the block and, for every
-position, the number of its word. The distinct words of all blocks meet by word, each is
-encoded once, and its ids are joined with the id-to-piece table, which has as many rows as
-the vocabulary and is broadcast. The encoded words go back to their blocks and to the
-positions of the texts; the pieces, put in order, are the decoded text.
+Texts are split into words as the tokenizer splits them. A task collects about
+``BLOCK_WORDS`` words into a block: its distinct words, dealt into parts by hash, and for
+every position of its texts the number of its word. Parts of all blocks meet by hash, so a
+word is encoded in one place, once, whatever number of blocks and positions it has. Its
+ids go back to the blocks and are joined to the positions by word number; the ids of a text
+are then joined with the id-to-piece table, which has as many rows as the vocabulary, and
+the pieces in order are the decoded text.
 
 A word occurs once per block at most before it is shuffled, so a very frequent word is
 spread as thin as the blocks. Texts move as compressed word numbers, once. Blocks are
-bounded by a number of words, or hold one long text.
+bounded by a number of words, or hold one long text. The table of a task forgets its words
+when it holds ``TABLE_WORDS``; a word may then be encoded again.
 
 NULL counts as empty: no ids, an empty decoded text. Every row comes back, repeated ones
 as often as they occur. Special tokens of the file are recognised in texts as the library
@@ -18,11 +20,13 @@ does by default. An empty table gives an empty result. Other columns are not loo
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BLOCK_WORDS = 1 << 20
+TABLE_WORDS = 1 << 20
 #: Characters with which byte-level vocabularies write the bytes that do not print.
 PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -57,45 +62,75 @@ def added_tokens(tokenizer: Tokenizer) -> dict[str, int]:
     return {token.content: number for number, token in added.items()}
 
 
+#: Letters, numbers and white space up to U+00FF, where no version of Unicode differs.
+LETTER, NUMBER, SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+#: The splitting rule of byte-level vocabularies for texts within that range.
+SIMPLE = re.compile(
+    rf" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{LETTER}{NUMBER}{SPACE}]+"
+    rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
+
+
+def plain_splitter(tokenizer: Tokenizer):
+    """Function from a text without special tokens to its words."""
+    split = tokenizer.pre_tokenizer.pre_tokenize_str
+    form = json.loads(tokenizer.to_str())
+    rule = form["pre_tokenizer"]
+    simple = rule["type"] == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
+    if form["normalizer"] is not None or rule["type"] != "ByteLevel":
+        raise ValueError("only byte-level vocabularies without a normalizer are supported")
+
+    def words(text: str) -> list[str]:
+        if simple:
+            try:
+                text.encode("latin-1")
+                return SIMPLE.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return [text[a:b] for _, (a, b) in split(text)]
+
+    return words
+
+
 def splitter(tokenizer: Tokenizer):
-    """Function from a text to its words in byte-level letters."""
+    """Function from a text to its words; special tokens are words of their own."""
     added = sorted(added_tokens(tokenizer), key=len, reverse=True)
     cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-    split, special = tokenizer.pre_tokenizer.pre_tokenize_str, set(added)
+    split, special = plain_splitter(tokenizer), set(added)
 
     def words(text: str) -> list[str]:
         if cut is None or not any(t in text for t in added):
-            return [w for w, _ in split(text)]
+            return split(text)
         found: list[str] = []
         for part in cut.split(text):
-            found += [part] if part in special else [w for w, _ in split(part)]
+            found += [part] if part in special else split(part)
         return found
 
     return words
 
 
-def pack(positions: np.ndarray, words: list[str]) -> bytes:
-    """Word numbers, byte plane by byte plane, and the words behind them."""
-    planes = np.ascontiguousarray(positions.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    head = np.array([len(positions)], dtype="<i8").tobytes()
-    return zstandard.compress(head + planes.tobytes() + "\n".join(words).encode(), 1)
+def pack(numbers: np.ndarray, rest: bytes = b"") -> bytes:
+    """Numbers, byte plane by byte plane, and bytes behind them, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    head = np.array([len(numbers)], dtype="<i8").tobytes()
+    return zstandard.compress(head + planes.tobytes() + rest, 1)
 
 
-def unpack(body: bytes) -> tuple[np.ndarray, list[str]]:
+def unpack(body: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.decompress(body)
     count = int(np.frombuffer(raw, "<i8", 1)[0])
     planes = np.frombuffer(raw, np.uint8, 4 * count, 8).reshape(4, count)
-    words = raw[8 + 4 * count :].decode()
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1), words.split("\n") if words else []
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1), raw[8 + 4 * count :]
 
 
-def blocks(docs: DataFrame, model: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """block, ids of its documents, words of each, and the packed positions and words."""
+def blocks(docs: DataFrame, model: str, parts: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per block its documents' ids and word counts, the packed word numbers of all
+    positions, the part of each word, and the packed words of each part."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = splitter(load(model))
-        number, task = 0, TaskContext.get().partitionId()
+        block, task = 0, TaskContext.get().partitionId()
         place: dict[str, int] = {}
         positions: list[int] = []
         ids: list = []
@@ -103,25 +138,31 @@ def blocks(docs: DataFrame, model: str, block_words: int = BLOCK_WORDS) -> DataF
         id_type = None
 
         def out() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal block
             at = np.array(positions, dtype=np.int64)
+            # The most frequent words get the smallest numbers, which pack best.
             often = np.argsort(-np.bincount(at, minlength=len(place)), kind="stable")
             rank = np.empty_like(often)
             rank[often] = np.arange(len(often))
-            names = list(place)
-            body = pack(rank[at] if len(at) else at, [names[i] for i in often])
+            names = [n.encode("utf-8", "surrogatepass") for n in place]
+            names = [names[i] for i in often.tolist()]
+            part = np.fromiter((zlib.crc32(n) % parts for n in names), dtype=np.int64, count=len(names))
+            groups: list[list[bytes]] = [[] for _ in range(parts)]
+            for p, name in zip(part.tolist(), names, strict=True):
+                groups[p].append(name)
+            packed = [pack(np.array([len(n) for n in g], dtype=np.int64), b"".join(g)) for g in groups]
             row = [
-                pa.array([(task << 32) + number]),
+                pa.array([(task << 32) + block]),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([counts], pa.list_(pa.int64())),
-                pa.array([body], pa.binary()),
+                pa.array([pack(rank[at] if len(at) else at)], pa.binary()),
+                pa.array([pack(part)], pa.binary()),
+                pa.array([packed], pa.list_(pa.binary())),
             ]
-            number += 1
-            place.clear()
-            positions.clear()
-            ids.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "body"])
+            block += 1
+            for held in (place, positions, ids, counts):
+                held.clear()
+            return pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "positions", "part", "words"])
 
         for batch in batches:
             id_type = batch.column("doc_id").type
@@ -136,60 +177,74 @@ def blocks(docs: DataFrame, model: str, block_words: int = BLOCK_WORDS) -> DataF
             yield out()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"block bigint, ids array<{kind}>, counts array<bigint>, body binary"
+        run,
+        f"block bigint, ids array<{kind}>, counts array<bigint>, positions binary, part binary, words array<binary>",
     )
 
 
-def block_words(found: DataFrame) -> DataFrame:
-    """word, block and place of the word in the block."""
+def part_words(found: DataFrame) -> DataFrame:
+    """block, part and the packed words of every part. It takes whole blocks, so that what
+    is read here and what is joined later are the same shuffled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
-                words = unpack(body.as_py())[1]
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                bodies = words.values
                 columns = [
-                    pa.array(words, pa.string()),
-                    pa.array(np.full(len(words), block)),
-                    pa.array(np.arange(len(words), dtype=np.int32)),
+                    pa.array(np.full(len(bodies), block)),
+                    pa.array(np.arange(len(bodies), dtype=np.int32)),
+                    bodies.cast(pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "block", "place"])
+                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "words"])
 
-    return found.mapInArrow(run, "word string, block bigint, place int")
+    return found.mapInArrow(run, "block bigint, part int, words binary")
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """ids of each distinct word (column word)."""
+def encode_words(words: DataFrame, model: str, table_words: int = TABLE_WORDS) -> DataFrame:
+    """block, part and the packed ids of the part's words: how many each has, then all."""
+    letters = {b: chr(c) for c, b in byte_letters().items()}
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(model)
-        added, tokenize = added_tokens(tokenizer), tokenizer.model.tokenize
-        for words in batches:
-            yield pd.Series([[added[w]] if w in added else [t.id for t in tokenize(w)] for w in words])
-
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("blocks")).select("word", ids_of("word").alias("ids"))
-
-
-def piece_table(words: DataFrame, model: str) -> DataFrame:
-    """id and piece of the whole vocabulary."""
-    tokenizer = load(model)
-    rows = sorted((number, piece) for piece, number in tokenizer.get_vocab(with_added_tokens=True).items())
-    return words.sparkSession.createDataFrame(rows, "id int, piece string")
-
-
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, ids and the pieces of its ids put together."""
-    return (
-        encoded.select("word", F.posexplode("ids").alias("place", "id"))
-        .join(F.broadcast(pieces), "id")
-        .groupBy("word")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "id", "piece"))).alias("at"))
-        .select("word", F.col("at.id").alias("ids"), F.array_join("at.piece", "").alias("pieces"))
-    )
+        tokenize = tokenizer.model.tokenize
+        added = {t.encode(): [n] for t, n in added_tokens(tokenizer).items()}
+        table: dict[bytes, list[int]] = dict(added)
+        for batch in batches:
+            out = []
+            for body in batch.column("words"):
+                sizes, joined = unpack(body.as_py())
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                counts, ids, at = [], [], 0
+                for end in ends:
+                    word = joined[at:end]
+                    found = table.get(word)
+                    if found is None:
+                        piece = word.decode("latin-1").translate(letters)
+                        found = table[word] = [t.id for t in tokenize(piece)]
+                    counts.append(len(found))
+                    ids += found
+                    at = end
+                if len(table) > table_words:
+                    table = dict(added)
+                out.append(pack(np.array(counts, dtype=np.int64), pack(np.array(ids, dtype=np.int64))))
+            columns = [batch.column("block"), batch.column("part"), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "ids"])
+
+    return words.mapInArrow(run, "block bigint, part int, ids binary")
+
+
+def piece_table(model: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces one after the other, and the number of bytes of each id."""
+    letters = byte_letters()
+    vocabulary = load(model).get_vocab(with_added_tokens=True)
+    pieces = [b""] * (max(vocabulary.values()) + 1)
+    for piece, number in vocabulary.items():
+        pieces[number] = piece.translate(letters).encode("latin-1")
+    return np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], dtype=np.int64)
 
 
 def gather(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``values`` (of the given lengths) in the order ``at``, and their ends."""
+    """Join runs of ``values`` (of the given lengths) to the numbers ``at``, and where each ends."""
     starts = np.cumsum(lengths) - lengths
     taken = lengths[at]
     ends = np.cumsum(taken)
@@ -197,53 +252,51 @@ def gather(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[place], ends
 
 
-def encode_decode(docs: DataFrame, path: str, block_words_: int = BLOCK_WORDS) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, path: str, block_words: int = BLOCK_WORDS, parts: int | None = None
+) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32 bit) and decoded text of every row.
 
-    ``path`` is the tokenizer's file, read here and sent to the tasks.
+    ``path`` is the tokenizer's file, read here and sent to the tasks. ``parts`` is the
+    number of parts into which distinct words are dealt, by default that of the shuffles.
     """
     with open(path, encoding="utf-8") as file:
         model = file.read()
     kind = dict(docs.dtypes)["doc_id"]
-    found = blocks(docs, model, block_words_).repartition("block")
-    words = block_words(found).repartition("word")
-    table = decode_words(encode_words(words, model), piece_table(words, model))
-    known = (
-        words.join(table, "word")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("place", "ids", "pieces")).alias("known"))
-    )
-    letters = byte_letters()
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks(docs, model, parts, block_words).repartition("block")
+    coded = encode_words(part_words(found).repartition("part"), model)
+    known = coded.groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, piece_lengths = piece_table(model)
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids = batch.column("ids")[row].values
-                counts = np.array(batch.column("counts")[row].values, dtype=np.int64)
-                positions, names = unpack(batch.column("body")[row].as_py())
-                if names:
-                    entries = batch.column("known")[row].values
-                    order = np.argsort(np.array(entries.field("place")))
-                    entries = entries.take(pa.array(order))
-                    id_lists = entries.field("ids")
-                    id_lengths = np.array(id_lists.value_lengths(), dtype=np.int64)
-                    octets = [p.translate(letters).encode("latin-1") for p in entries.field("pieces").to_pylist()]
-                    octet_lengths = np.fromiter(map(len, octets), dtype=np.int64, count=len(octets))
-                    tokens, token_ends = gather(np.array(id_lists.flatten(), dtype="<u4"), id_lengths, positions)
-                    letters_, letter_ends = gather(
-                        np.frombuffer(b"".join(octets), np.uint8), octet_lengths, positions
-                    )
-                else:
-                    tokens, letters_ = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
-                    token_ends = letter_ends = np.zeros(0, np.int64)
-                last = np.cumsum(counts)
-                cut = [np.concatenate([[0], e])[np.concatenate([[0], last])] for e in (token_ends, letter_ends)]
-                ids = [tokens[a:b].tobytes() for a, b in zip(cut[0], cut[0][1:], strict=False)]
-                texts = [
-                    letters_[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cut[1], cut[1][1:], strict=False)
+                positions, part = (unpack(batch.column(c)[row].as_py())[0] for c in ("positions", "part"))
+                each = sorted((c["part"], c["ids"]) for c in batch.column("coded")[row].as_py())
+                sizes, ids = [], []
+                for _, body in each:
+                    counts, rest = unpack(body)
+                    sizes.append(counts)
+                    ids.append(unpack(rest)[0])
+                # Words stand part by part here; their numbers go by frequency.
+                order = np.argsort(part, kind="stable")
+                by_part = np.empty(len(part), dtype=np.int64)
+                by_part[order] = np.arange(len(part))
+                lengths = np.concatenate(sizes).astype(np.int64)
+                tokens, ends = gather(np.concatenate(ids), lengths, by_part[positions])
+                octets, octet_ends = gather(pieces, piece_lengths, tokens)
+                last = np.cumsum(np.array(batch.column("counts")[row].values, dtype=np.int64))
+                cut = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+                octet_cut = np.concatenate([[0], octet_ends])[cut]
+                raw, text = tokens.astype("<u4").tobytes(), octets.tobytes()
+                columns = [
+                    batch.column("ids")[row].values,
+                    pa.array(np.diff(cut)),
+                    pa.array([raw[4 * a : 4 * b] for a, b in pairwise(cut.tolist())], pa.binary()),
+                    pa.array([text[a:b].decode("utf-8", "replace") for a, b in pairwise(octet_cut.tolist())], pa.string()),
                 ]
-                columns = [doc_ids, pa.array(np.diff(cut[0])), pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    joined = found.join(known, "block", "left").select("ids", "counts", "body", "known")
+    joined = found.join(known, "block").select("ids", "counts", "positions", "part", "coded", "words")
     return joined.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
