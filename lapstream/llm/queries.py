@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapstream.llm import bpe, exact, langid, mixing, simhash
+from lapstream.llm import bpe, exact, imatch, langid, lines, mixing, secrets, simhash, toxicity, warc
 from lapstream.llm.common import read_table
+from lapstream.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,12 +57,64 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_line_dedup",
+    """
+    WITH boilerplate AS (
+        SELECT coalesce(list(line), []) AS gone
+        FROM (
+            SELECT trim(line, ' ') AS line
+            FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+            WHERE trim(line, ' ') <> ''
+            GROUP BY 1
+            HAVING count(DISTINCT source) >= 5
+        )
+    ), d AS (
+        SELECT doc_id, text, string_split(text, chr(10)) AS every,
+               list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x, ' '))) AS kept
+        FROM documents, boilerplate
+    )
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END AS text,
+           coalesce(len(every), 0) AS n_lines, coalesce(len(every) - len(kept), 0) AS n_removed
+    FROM d
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents"), site="source", min_sites=5)
+
+
 @query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, "spans")
+
+
+@query("op8_imatch")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        imatch.as_text(F.col("hashes")).alias("fingerprint"),
+        imatch.as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        imatch.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 @query("op9_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -75,3 +128,37 @@ def digests(coded: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def damaged_copy(found: DataFrame) -> DataFrame:
+    """A second replica of which one record in fifty or so has a byte changed."""
+    chosen = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2) < "05"
+    rotten = F.overlay("record", F.lit("#"), F.lit(6), F.lit(1))
+    return found.withColumn("record", F.when(chosen, rotten).otherwise(F.col("record")))
+
+
+@query(
+    "op10_warc_audit",
+    """
+    WITH r AS (
+        SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS id,
+               concat('WARC/1.0', e, 'WARC-Type: resource', e, 'WARC-Record-ID: <urn:page:', page_id, '>', e,
+                      'WARC-Date: 1970-01-01T00:00:00Z', e, 'WARC-Target-URI: ', url, e,
+                      'Content-Type: text/html', e, 'Content-Length: ', strlen(coalesce(html, '')), e, e,
+                      html, e, e) AS record
+        FROM pages, (SELECT chr(13) || chr(10) AS e)
+    ), f AS (
+        SELECT page_id, md5(id) AS m, sha256(record) AS digest, strlen(record) AS length,
+               CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % ceil((SELECT count(*) FROM r) / 1024)::BIGINT AS file
+        FROM r
+    )
+    SELECT page_id, file, sum(length) OVER w - length AS start, length, digest,
+           CASE WHEN substr(m, 1, 2) < '05' THEN 'corrupt' ELSE 'intact' END AS status
+    FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS LAST, digest ROWS UNBOUNDED PRECEDING)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.records(read_table(spark, sf_dir, "pages"))
+    files = warc.file_count(found)
+    replicas = [cut_lineage(warc.layout(r, files), "warc-layout") for r in (found, damaged_copy(found))]
+    return warc.audit(*replicas)
