@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 TABLE_WORDS = 1 << 20
 #: Characters with which byte-level vocabularies write the bytes that do not print.
 PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -298,5 +298,7 @@ def encode_decode(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    joined = found.join(known, "block").select("ids", "counts", "positions", "part", "coded", "words")
+    # A left join, and all columns to the end: with a filter or fewer columns on this side,
+    # the blocks would be made and shuffled a second time.
+    joined = found.join(known, "block", "left").select("ids", "counts", "positions", "part", "coded", "words")
     return joined.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
