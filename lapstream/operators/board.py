@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lapstream.functions.text import compound_short, is_gap
 from lapstream.operators.clean import was_neutralised
 from lapstream.operators.fold import CAR, order_columns
-from lapstream.operators.scan import CHUNK_SPAN, running, settled
+from lapstream.operators.scan import CHUNK_SPAN, running
+from lapstream.session import cut_lineage
 
 # Laps in a trend, least laps for a delta, latency sample, silence.
 TREND_LAPS = 12
@@ -211,7 +212,7 @@ def silence_segments(
     frames: DataFrame,
     order: str = "seq",
     seconds: float = SILENCE_SECONDS,
-    span: int | None = CHUNK_SPAN,
+    span: int = CHUNK_SPAN,
 ) -> DataFrame:
     """Number the stretches of a feed between silences longer than ``seconds``."""
     micros = F.unix_micros(F.col("arrival").cast("timestamp"))
@@ -219,7 +220,7 @@ def silence_segments(
     gaps = running(timed, ["session_id"], order, lags={"_before": F.col("_at")}, span=span)
     opened = (F.col("_at") - F.col("_before")) > int(seconds * 1_000_000)
     marked = gaps.withColumn("_new", F.coalesce(opened, F.lit(False)).cast("bigint"))
-    marked = settled(marked, span, "gaps")
+    marked = cut_lineage(marked, "gaps")
     numbered = running(
         marked, ["session_id"], order, sums={"segment": F.col("_new")}, span=span
     )

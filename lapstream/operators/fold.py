@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lapstream.functions import text
 from lapstream.operators.scan import last_states, running
+from lapstream.session import cut_lineage
 
 # Topics that are stored as they come and have no projection.
 UNPROJECTED = (
@@ -78,13 +79,20 @@ def _members(df: DataFrame, value: Column, extra: Sequence[Column | str]) -> Dat
     )
 
 
+def _session_time(events: DataFrame) -> Column:
+    """Time since the session began, NULL for events that carry none."""
+    if "session_time" in events.columns:
+        return F.col("session_time")
+    return F.lit(None).cast("interval day to second").alias("session_time")
+
+
 def _lines(events: DataFrame, topic: str) -> DataFrame:
     """One row per car of a ``Lines`` payload: car, line, and whether Lines was a list."""
     wanted = events.where(F.col("topic") == topic).select(
-        "session_id", "seq", "ts", _at("payload", "$.Lines", "variant").alias("lines")
+        "session_id", "seq", "ts", _session_time(events), _at("payload", "$.Lines", "variant").alias("lines")
     )
     wanted = wanted.withColumn("from_list", _shape(F.col("lines")) == "[")
-    rows = _members(wanted, F.col("lines").outer(), ["session_id", "seq", "ts", "from_list"])
+    rows = _members(wanted, F.col("lines").outer(), ["session_id", "seq", "ts", "session_time", "from_list"])
     return rows.where(_shape(F.col("value")) == "{").withColumnsRenamed(
         {"key": "car", "value": "line"}
     )
@@ -110,6 +118,7 @@ def timing_deltas(events: DataFrame) -> DataFrame:
         "car",
         "seq",
         "ts",
+        "session_time",
         text.as_int(_at("line", "$.Position")).alias("position"),
         text.as_int(_at("line", "$.NumberOfLaps")).alias("laps_completed"),
         text.as_int(_at("line", "$.NumberOfPitStops")).alias("pit_count"),
@@ -151,12 +160,12 @@ BLANKABLE = ("gap_to_leader", "interval_text")
 
 
 def stint_deltas(events: DataFrame) -> DataFrame:
-    """Stint changes, one row per (event, car, stint index)."""
+    """Stint changes, one row per (event, car, stint index); other keys are passed over."""
     lines = _lines(events, "TimingAppData").withColumn(
         "stints", _at("line", "$.Stints", "variant")
     )
     rows = _members(lines, F.col("stints").outer(), ["session_id", "car", "seq", "ts"])
-    rows = rows.where(_shape(F.col("value")) == "{")
+    rows = rows.where((_shape(F.col("value")) == "{") & F.col("key").rlike(r"^\d+$"))
     compound = text.parse_compound(_at("value", "$.Compound"))
     return rows.select(
         "session_id",
@@ -176,7 +185,10 @@ def _filled(x: Column) -> Column:
 
 
 def driver_deltas(events: DataFrame) -> DataFrame:
-    """Driver names, one row per (event, car); blanks count as not sent."""
+    """Driver names, one row per (event, car); blanks count as not sent.
+
+    ``full_sent`` and ``broadcast_sent`` keep a blank, which takes a name back.
+    """
     listed = events.where((F.col("topic") == "DriverList") & (_shape(F.col("payload")) == "{"))
     rows = _members(listed, F.col("payload").outer(), ["session_id", "seq", "ts"])
     rows = rows.where(F.col("key").rlike(r"^\d+$") & (_shape(F.col("value")) == "{"))
@@ -189,6 +201,8 @@ def driver_deltas(events: DataFrame) -> DataFrame:
         _filled(_at("value", "$.FullName")).alias("full_name"),
         _filled(_at("value", "$.BroadcastName")).alias("broadcast_name"),
         _filled(_at("value", "$.TeamName")).alias("team"),
+        _at("value", "$.FullName").alias("full_sent"),
+        _at("value", "$.BroadcastName").alias("broadcast_sent"),
     )
 
 
@@ -243,14 +257,14 @@ def _timing_view(df: DataFrame) -> DataFrame:
 
 
 def fold_as_of(
-    deltas: DataFrame, fields: Sequence[str], keys: Sequence[str] = CAR, **scan: int | None
+    deltas: DataFrame, fields: Sequence[str], keys: Sequence[str] = CAR, **scan: int
 ) -> DataFrame:
     """State after every row: last non-NULL value of each field so far."""
-    kept = deltas.select(*keys, "seq", *fields)
+    kept = cut_lineage(deltas.select(*keys, "seq", *fields), "deltas")
     return running(kept, keys, "seq", lasts={f: F.col(f) for f in fields}, **scan)
 
 
-def timing_as_of(deltas: DataFrame, **scan: int | None) -> DataFrame:
+def timing_as_of(deltas: DataFrame, **scan: int) -> DataFrame:
     return _timing_view(fold_as_of(deltas, TIMING_FIELDS, **scan))
 
 
@@ -263,12 +277,23 @@ def timing_state(deltas: DataFrame) -> DataFrame:
 
 
 def driver_state(deltas: DataFrame) -> DataFrame:
-    """Driver dimension. A full name wins over a broadcast name when both are known."""
-    fields = ("tla", "full_name", "broadcast_name", "team")
-    latest = last_states(deltas, CAR, "seq", {c: F.col(c) for c in fields}, first="first_seen")
-    return latest.select(
-        *CAR, "tla", F.coalesce("full_name", "broadcast_name").alias("name"), "team", "first_seen"
+    """Driver dimension. A full name that stands wins over a broadcast name that stands.
+
+    Where both were blanked, the one that was blanked last was shown until then and stays.
+    """
+    fields = ("tla", "full_name", "broadcast_name", "team", "full_sent", "broadcast_sent")
+    values = {c: F.col(c) for c in fields}
+    values |= {f"{c}_at": F.when(F.col(c) == "", F.col("seq")) for c in ("full_sent", "broadcast_sent")}
+    latest = last_states(deltas, CAR, "seq", values, first="first_seen")
+    full_last = F.coalesce("full_sent_at", F.lit(-1)) >= F.coalesce("broadcast_sent_at", F.lit(-1))
+    name = F.coalesce(
+        _filled(F.col("full_sent")),
+        _filled(F.col("broadcast_sent")),
+        F.when(full_last, F.coalesce("full_name", "broadcast_name")),
+        F.col("broadcast_name"),
+        F.col("full_name"),
     )
+    return latest.select(*CAR, "tla", name.alias("name"), "team", "first_seen")
 
 
 def stint_state(deltas: DataFrame) -> DataFrame:
@@ -320,7 +345,7 @@ def _session_view(df: DataFrame) -> DataFrame:
     ).drop("circuit_name", "location")
 
 
-def session_as_of(deltas: DataFrame, **scan: int | None) -> DataFrame:
+def session_as_of(deltas: DataFrame, **scan: int) -> DataFrame:
     return _session_view(fold_as_of(deltas, SESSION_FIELDS, SESSION, **scan))
 
 
@@ -333,11 +358,13 @@ def event_counters(events: DataFrame) -> DataFrame:
     )
 
 
-def status_spans(deltas: DataFrame, **scan: int | None) -> DataFrame:
+def status_spans(deltas: DataFrame, **scan: int) -> DataFrame:
     """Track status timeline: code, first and (exclusive) last seq; open spans end NULL."""
     sent = deltas.where(F.col("status").isNotNull()).select("session_id", "seq", "status")
+    sent = cut_lineage(sent, "statuses")
     seen = running(sent, SESSION, "seq", lags={"before": F.col("status")}, **scan)
     changed = seen.where(F.col("status") != F.coalesce("before", F.lit("0"))).drop("before")
+    changed = cut_lineage(changed, "changes")
     # The next change closes a span: look backwards along the reversed order.
     turned = changed.withColumn("_back", -F.col("seq"))
     closed = running(turned, SESSION, "_back", lags={"end_seq": F.col("seq")}, **scan)
@@ -370,9 +397,17 @@ def car_state(timing: DataFrame, stints: DataFrame, drivers: DataFrame) -> DataF
 
 
 def order_columns() -> list[Column]:
-    """Classified cars by position, unclassified last; position 0 counts as far back."""
+    """Classified cars by position, unclassified last; position 0 counts as far back.
+
+    Level cars keep the order in which they were first seen, then that of their numbers.
+   """
     place = F.when(F.col("position") == 0, UNPLACED).otherwise(F.col("position"))
-    return [F.col("position").isNull(), F.coalesce(place, F.lit(UNPLACED)), F.col("first_seen")]
+    return [
+        F.col("position").isNull(),
+        F.coalesce(place, F.lit(UNPLACED)),
+        F.col("first_seen"),
+        F.col("car"),
+    ]
 
 
 def running_order(cars: DataFrame) -> DataFrame:

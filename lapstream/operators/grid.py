@@ -39,15 +39,9 @@ def _order_chunk() -> Column:
     )
 
 
-def with_place(
-    cars: DataFrame, keys: Sequence[str] = ("session_id",), small: bool = False
-) -> DataFrame:
-    """Add ``place``: 1 for the leader, counting down the running order.
-
-    ``small`` says that no session has more cars than one task can sort.
-    """
-    chunk = None if small else _order_chunk()
-    return ranked(cars, list(keys), order_columns(), chunk, "place")
+def with_place(cars: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Add ``place``: 1 for the leader, counting down the running order."""
+    return ranked(cars, list(keys), order_columns(), _order_chunk(), "place")
 
 
 def _gap_rule() -> Column:
@@ -185,10 +179,14 @@ def grid_entries(cars: DataFrame, pace: DataFrame, keys: Sequence[str] = ("sessi
 
 
 def pace_ladder(pace: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """A start grid from fitted pace alone: quickest first, evenly spaced."""
-    placed = ranked(
-        pace, list(keys), [F.col("pace"), F.col("driver")], F.floor(F.col("pace") * 10), "place"
-    )
+    """A start grid from fitted pace alone: quickest first, evenly spaced.
+
+    Cars whose pace is not known start at the back.
+    """
+    unknown = F.col("pace").isNull()
+    chunk = F.struct(unknown.alias("unknown"), F.floor(F.col("pace") * 10).alias("band"))
+    order = [unknown, F.col("pace"), F.col("driver")]
+    placed = ranked(pace, list(keys), order, chunk, "place")
     return placed.withColumn("elapsed", (F.col("place") - 1) * LADDER_GAP)
 
 

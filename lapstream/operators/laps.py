@@ -11,7 +11,8 @@ from lapstream.functions.text import (
     interval_seconds,
 )
 from lapstream.operators.fold import CAR, SESSION
-from lapstream.operators.scan import CHUNK_SPAN, running, settled
+from lapstream.operators.scan import CHUNK_SPAN, running
+from lapstream.session import cut_lineage
 
 CONTEXT = (
     "laps_completed", "position", "gap_to_leader", "interval_text", "in_pit", "pit_out",
@@ -26,7 +27,9 @@ def car_timeline(timing: DataFrame, stints: DataFrame, drivers: DataFrame) -> Da
     Stint rows of one event are reduced to the highest stint they name and the
     latest known compound and age, which is all a lap needs to know of them.
     """
-    timed = timing.select(*CAR, "seq", "ts", "completes_lap", "lap_time", *CONTEXT).withColumn(
+    timed = timing.select(
+        *CAR, "seq", "session_time", "completes_lap", "lap_time", *CONTEXT
+    ).withColumn(
         "lap_sent", F.col("laps_completed")
     )
 
@@ -42,7 +45,7 @@ def car_timeline(timing: DataFrame, stints: DataFrame, drivers: DataFrame) -> Da
     return stacked.unionByName(names, allowMissingColumns=True)
 
 
-def car_context(timeline: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame:
+def car_context(timeline: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     """Context as of every row of the timeline.
 
     ``compound_mark``/``total_laps_mark`` grow with (stint, seq), so their running
@@ -65,21 +68,21 @@ def car_context(timeline: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame
     )
 
 
-def completions(timeline: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame:
+def completions(timeline: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     """Accepted lap completions with the car's context.
 
     The time on a completion belongs to the lap before the one now starting. Lap
     numbers below one are dropped, and so are repeats of the number just seen.
     """
-    timeline = settled(timeline, span, "timeline")
-    context = settled(car_context(timeline, span).where("completes_lap"), span, "completed")
+    timeline = cut_lineage(timeline, "timeline")
+    context = cut_lineage(car_context(timeline, span).where("completes_lap"), "completed")
     lap = F.coalesce("lap_sent", F.coalesce("laps_completed", F.lit(0))) - 1
     numbered = context.withColumn("lap", lap).where(F.col("lap") >= 1)
     repeated = running(numbered, CAR, "seq", lags={"lap_before": F.col("lap")}, span=span)
     fresh = repeated.where(
         F.col("lap_before").isNull() | (F.col("lap_before") != F.col("lap"))
     ).drop("lap_before")
-    fresh = settled(fresh, span, "fresh")
+    fresh = cut_lineage(fresh, "fresh")
     off = F.lit(False)
     return running(
         fresh,
@@ -94,7 +97,7 @@ def completions(timeline: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame
     )
 
 
-def status_as_of(laps: DataFrame, session: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame:
+def status_as_of(laps: DataFrame, session: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     """Add ``track_statuses``: every status active from the last completion to this one.
 
     A status was active in that time if it is the present one, or if its latest
@@ -102,9 +105,9 @@ def status_as_of(laps: DataFrame, session: DataFrame, span: int | None = CHUNK_S
     period per code makes this a running maximum along the session; no lap is
     joined to a range of periods. The first lap of a car sees the present status.
     """
-    laps = settled(laps, span, "laps")
+    laps = cut_lineage(laps, "laps")
     sent = session.where(F.col("status").isNotNull()).select("session_id", "seq", "status")
-    sent = settled(sent, span, "statuses")
+    sent = cut_lineage(sent, "statuses")
     changes = running(sent, SESSION, "seq", lags={"was": F.col("status")}, span=span)
     changes = changes.withColumn("was", F.coalesce("was", F.lit("0"))).where(
         F.col("was") != F.col("status")
@@ -128,7 +131,7 @@ def extract_laps(
     stints: DataFrame,
     drivers: DataFrame,
     session: DataFrame,
-    span: int | None = CHUNK_SPAN,
+    span: int = CHUNK_SPAN,
 ) -> DataFrame:
     """Lap records from feed deltas."""
     done = completions(car_timeline(timing, stints, drivers), span)
@@ -164,6 +167,7 @@ def extract_laps(
         during("in_pit", "pit_seen").alias("entered_pit"),
         during("pit_out", "out_seen").alias("exited_pit"),
         (F.coalesce("retired", off) | F.coalesce("stopped", off)).alias("retired"),
+        "session_time",
     )
 
 

@@ -23,11 +23,10 @@ OPTION = ("session_id", "option_id")
 CAR = (*OPTION, "driver")
 
 
-def classify_draws(draws: DataFrame, small: bool = False) -> DataFrame:
+def classify_draws(draws: DataFrame) -> DataFrame:
     """Finishing position per draw: finishers by time, then retirements, latest first.
 
-    ``total_laps`` must be on the rows. ``small`` says a draw has few enough cars
-    for one task; otherwise cars are ranked in time bands.
+    ``total_laps`` must be on the rows. Cars are ranked in time bands.
     """
     key = F.when(F.col("retired"), F.col("total_laps") - F.col("retired_on")).otherwise(
         F.col("elapsed")
@@ -35,7 +34,7 @@ def classify_draws(draws: DataFrame, small: bool = False) -> DataFrame:
     keyed = draws.withColumn("_key", key.cast("double"))
     band = F.struct(F.col("retired").alias("r"), F.floor(F.col("_key") / 60).alias("b"))
     order = [F.col("retired"), F.col("_key"), F.col("driver")]
-    placed = ranked(keyed, list(DRAW), order, None if small else band, "classified")
+    placed = ranked(keyed, list(DRAW), order, band, "classified")
     return placed.drop("_key")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapstream.functions.text import compound_short
+from lapstream.session import cut_lineage
 
 # Limits of the fit.
 MIN_LAPS = 30
@@ -84,11 +85,11 @@ def compound_usage(usable: DataFrame, keys: Sequence[str], order: str = "seq") -
             (at(F.floor((F.col("laps") - 1) / 2)) + at(F.floor(F.col("laps") / 2))) / 2
         ).alias("phase"),
     )
-    best = Window.partitionBy(*keys).orderBy(F.desc("laps"), "first_seen")
+    best = Window.partitionBy(*keys).orderBy(F.desc("laps"), "first_seen", "compound")
     return used.withColumn("is_reference", F.row_number().over(best) == 1)
 
 
-def moments(usable: DataFrame, keys: Sequence[str]) -> DataFrame:
+def moments(usable: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     """Sums per (fit, driver, compound): everything the fit needs of the laps.
 
     Combined before the shuffle; a hot session shrinks to its drivers first.
@@ -99,11 +100,16 @@ def moments(usable: DataFrame, keys: Sequence[str]) -> DataFrame:
         "y": y, "yy": y * y, "ly": lap * y, "ay": age * y,
     }
     compound = F.when(_known(), F.col("compound")).otherwise("UNKNOWN")
-    return usable.groupBy(*keys, "driver", compound.alias("compound")).agg(
-        *[F.sum(terms[s].cast("double")).alias(s) for s in SUMS]
+    return usable.groupBy(*keys, "driver", compound.alias("compound"), *more).agg(
+        *[F.sum(terms[s].cast("double")).alias(s) for s in SUMS], F.max("lap").alias("max_lap")
     )
 
 
+def stint_sums(usable: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same sums per stint as well."""
+    return moments(usable, keys, ("stint",))
+
+
 def design(usable: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Non-zero design entries per lap: driver, race lap, tyre age, offset.
 
@@ -310,10 +316,13 @@ NEEDED = (
 
 
 def fit_pace(clean: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "seq") -> DataFrame:
-    """One row per fit with coefficients, quality and warnings."""
+    """One row per fit with coefficients, quality and warnings.
+
+    Laps are read twice: for the counts per lap number behind the medians, and for sums
+    per (driver, compound, stint). The sums are written out; all the rest comes from them.
+    """
     keys = list(keys)
     usable = usable_laps(clean)
-    groups = fit_groups(usable, keys)
     used = compound_usage(usable, keys, order)
     marks = used.groupBy(*keys).agg(
         F.max(F.when(F.col("is_reference"), F.col("compound"))).alias("reference"),
@@ -321,14 +330,19 @@ def fit_pace(clean: DataFrame, keys: Sequence[str] = ("session_id",), order: str
         (F.max("phase") - F.min("phase")).alias("phase_spread"),
         F.count(F.lit(1)).alias("n_compounds"),
     )
-    stints = (
-        usable.select(*keys, "driver", "stint")
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_stints"))
+    stints = cut_lineage(stint_sums(usable, keys), "stint-sums")
+    groups = (
+        stints.groupBy(*keys)
+        .agg(
+            F.sum("n").cast("bigint").alias("n_laps"),
+            F.max("max_lap").alias("max_lap"),
+            F.sum(F.when(_known(), F.col("n"))).alias("known_laps"),
+            F.count_distinct(F.struct("driver", "stint")).alias("n_stints"),
+        )
+        .where((F.col("n_laps") >= MIN_LAPS) & (F.col("known_laps") > 0))
     )
-    sums = moments(usable, keys)
-    ready = groups.join(marks, keys).join(stints, keys).join(systems(sums, keys), keys)
+    sums = stints.groupBy(*keys, "driver", "compound").agg(*[F.sum(s).alias(s) for s in SUMS])
+    ready = groups.join(marks, keys).join(systems(sums, keys), keys)
     solved = ready.withColumn("fit", _solve(F.struct(*NEEDED)))
     spread = driver_pace(sums, solved.select(*keys, "fit.beta"), keys).groupBy(*keys).agg(
         (F.max("pace") - F.min("pace")).alias("pace_spread")

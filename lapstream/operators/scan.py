@@ -1,16 +1,18 @@
 """Ordered running values over keys of any size.
 
-A plain window over (session, car) puts a whole key into one task. Where a key can
-be larger than one task should hold, it is cut into chunks along the order column.
-Every chunk is windowed by itself, one small summary row per chunk is folded along
-the key, and the value from the chunks before is joined back. The answer is the
-same as the plain window; the largest unit of work is one chunk.
-
-Rows are shuffled once, by (key, chunk): the chunk window and the join back share
-that partitioning. The summary is a map-side combined aggregate.
-
-:func:`chunk_span` measures the order column first. When all rows span less than
-one chunk, no key can hold more, and ``span=None`` runs the plain window.
+A plain window over (session, car) puts a whole key into one task. Here every key is cut
+into chunks along the order column. Each chunk is windowed by itself, one small summary
+row per chunk is folded along the key, and the value from the chunks before is joined
+back. The answer is that of a plain window; the largest unit of work is one chunk. There
+is one way for all sizes: a key that fits in one chunk has nothing to carry.
+
+Rows are shuffled once, by (key, chunk): the chunk window and the join back share that
+partitioning. The summary is a map-side combined aggregate. Keys and order may be NULL:
+(key, chunk) is a struct, and structs with equal or NULL fields are equal. NULL orders
+come first, as in a window.
+
+A scan reads its input twice. Write a costly input out before it is scanned
+(:func:`~lapstream.session.cut_lineage`).
 """
 
 from __future__ import annotations
@@ -20,44 +22,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapstream.session import cut_lineage
-
 CHUNK_SPAN = 1 << 20
+NO_ORDER = -(1 << 62)
 
 
-def chunk_span(df: DataFrame, order: str = "seq", span: int = CHUNK_SPAN) -> int | None:
-    """``span``, or None where the whole order column fits in one chunk."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    return None if low is None or high - low < span else span
-
-
-def settled(df: DataFrame, span: int | None, label: str) -> DataFrame:
-    """Write a step out before it is scanned in chunks.
-
-    A chunked scan reads its input twice, so a chain of them would repeat the work
-    before it. One-chunk scans read once and need no table in between.
-    """
-    return df if span is None else cut_lineage(df, label)
-
-
-def with_chunk(df: DataFrame, order: str, span: int | None, name: str = "chunk") -> DataFrame:
+def with_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "chunk") -> DataFrame:
     """Add the chunk number of each row: equal stretches of the order column."""
-    return df if span is None else df.withColumn(name, F.floor(F.col(order) / span))
-
-
-def _plain(df, keys, order, number, size, sums, maxima, lasts, lags) -> DataFrame:
-    along = Window.partitionBy(*keys).orderBy(order)
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {n: F.sum(c).over(upto) for n, c in sums.items()}
-    out |= {n: F.max(c).over(upto) for n, c in maxima.items()}
-    out |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
-    out |= {n: F.lag(c).over(along) for n, c in lags.items()}
-    if number:
-        out[number] = F.row_number().over(along).cast("bigint")
-    if size:
-        out[size] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    kept = [F.col(c) for c in df.columns if c not in out]
-    return df.select(*kept, *[c.alias(n) for n, c in out.items()])
+    return df.withColumn(name, F.floor(F.col(order) / span))
 
 
 def running(
@@ -71,7 +42,7 @@ def running(
     maxima: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
-    span: int | None = CHUNK_SPAN,
+    span: int = CHUNK_SPAN,
     chunk: str | None = None,
 ) -> DataFrame:
     """Add running values per key along ``order`` (unique within a key).
@@ -81,31 +52,29 @@ def running(
     lasts   last non-NULL value so far      lags    value on the row before
 
     ``chunk`` names a column from :func:`with_chunk`; it is kept, so a further
-    pass over the same keys finds its rows already in place. Keys and order must
-    not be NULL: the carry is joined back on them.
+    pass over the same keys finds its rows already in place.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     lasts, lags = dict(lasts or {}), dict(lags or {})
-    if span is None:
-        return _plain(df, keys, order, number, size, sums, maxima, lasts, lags)
     named = {**sums, **maxima, **lasts, **lags}
     inputs = {name: f"_in_{name}" for name in named}
     chunked = df if chunk else with_chunk(df, order, span, "_chunk")
     chunk = chunk or "_chunk"
     chunked = chunked.withColumns({inputs[n]: c for n, c in named.items()}) if named else chunked
-    by = [*keys, chunk]
+    chunked = chunked.withColumn("_by", F.struct(*keys, chunk))
 
     totals = [F.count(F.lit(1)).alias("_rows")]
     totals += [F.sum(inputs[n]).alias(f"_t_{n}") for n in sums]
     totals += [F.max(inputs[n]).alias(f"_t_{n}") for n in maxima]
+    place = F.coalesce(F.col(order), F.lit(NO_ORDER))
     totals += [
-        F.max_by(inputs[n], F.when(F.col(inputs[n]).isNotNull(), F.col(order))).alias(f"_t_{n}")
-        for n in lasts
+        F.max_by(inputs[n], F.when(F.col(inputs[n]).isNotNull(), place)).alias(f"_t_{n}") for n in lasts
     ]
-    totals += [F.max_by(inputs[n], order).alias(f"_t_{n}") for n in lags]
-    before = Window.partitionBy(*keys).orderBy(chunk)
+    totals += [F.max_by(inputs[n], place).alias(f"_t_{n}") for n in lags]
+    of_key = [F.col(f"_by.{k}") for k in keys]
+    before = Window.partitionBy(*of_key).orderBy(F.col(f"_by.{chunk}"))
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*of_key)
     carried = {f"_c_{n}": F.sum(f"_t_{n}").over(earlier) for n in sums}
     carried |= {f"_c_{n}": F.max(f"_t_{n}").over(earlier) for n in maxima}
     carried |= {f"_c_{n}": F.last(f"_t_{n}", ignorenulls=True).over(earlier) for n in lasts}
@@ -114,11 +83,11 @@ def running(
         carried["_c_rows"] = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
     if size:
         carried["_c_size"] = F.sum("_rows").over(whole)
-    carry = chunked.groupBy(*by).agg(*totals).select(
-        *by, *[c.alias(n) for n, c in carried.items()]
+    carry = chunked.groupBy("_by").agg(*totals).select(
+        "_by", *[c.alias(n) for n, c in carried.items()]
     )
 
-    along = Window.partitionBy(*by).orderBy(order)
+    along = Window.partitionBy("_by").orderBy(order)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {f"_l_{n}": F.sum(inputs[n]).over(upto) for n in sums}
     local |= {f"_l_{n}": F.max(inputs[n]).over(upto) for n in maxima}
@@ -146,41 +115,36 @@ def running(
     if size:
         out[size] = F.col("_c_size")
     kept = [F.col(c) for c in df.columns if c not in out]
-    return inside.join(carry, by).select(*kept, *[c.alias(n) for n, c in out.items()])
+    return inside.join(carry, "_by").select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column | None,
+    chunk: Column,
     name: str,
 ) -> DataFrame:
     """Row number within a key, for keys too big for one task.
 
     ``chunk`` must never decrease along ``order``: rows of a lower chunk come
     first. A rank is then the rows of lower chunks plus the place within its own.
-    ``chunk=None`` is for keys known to be small.
     """
-    if chunk is None:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(name, place.cast("bigint"))
-    chunked = df.withColumn("_chunk", chunk)
-    by = [*keys, "_chunk"]
+    chunked = df.withColumn("_by", F.struct(*keys, chunk.alias("_chunk")))
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_chunk")
+        Window.partitionBy(*[F.col(f"_by.{k}") for k in keys])
+        .orderBy("_by._chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        chunked.groupBy(*by)
+        chunked.groupBy("_by")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*by, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_ahead"))
+        .select("_by", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_ahead"))
     )
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("_by").orderBy(*order))
     return (
         chunked.withColumn("_place", place)
-        .join(carry, by)
+        .join(carry, "_by")
         .withColumn(name, F.col("_ahead") + F.col("_place"))
         .select(*df.columns, name)
     )

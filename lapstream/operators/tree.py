@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapstream.operators.scan import CHUNK_SPAN, running, settled
+from lapstream.operators.scan import CHUNK_SPAN, running
 from lapstream.session import cut_lineage
 
 KEYS = ("session_id", "topic", "path")
@@ -39,7 +39,7 @@ def _is_empty(value: Column) -> Column:
     return F.to_json(value).isin("{}", "[]")
 
 
-def _level(rows: DataFrame, span: int | None) -> DataFrame:
+def _level(rows: DataFrame, span: int) -> DataFrame:
     """Work out, for each write to a path, what it left there and what it replaced.
 
     ``epoch`` is the last replacement above the path; anything older is gone.
@@ -57,7 +57,7 @@ def _level(rows: DataFrame, span: int | None) -> DataFrame:
         F.col("kind") == INDEXED, OBJECT
     )
     shaped = seen.withColumn("shape", F.coalesce(left, F.col("kind"))).drop("_fixed")
-    shaped = settled(shaped, span, "shapes")
+    shaped = cut_lineage(shaped, "shapes")
     before = running(
         shaped,
         KEYS,
@@ -73,7 +73,7 @@ def _level(rows: DataFrame, span: int | None) -> DataFrame:
     judged = before.withColumns(
         {"replaced": alive & ~merges, "idle": alive & merges & empty, "empty": empty}
     ).drop("_was", "_was_seq")
-    judged = settled(judged, span, "judged")
+    judged = cut_lineage(judged, "judged")
     own = F.when(F.col("replaced"), F.col("seq"))
     ended = running(judged, KEYS, "seq", maxima={"_own": own}, span=span)
     return ended.withColumn("below", F.greatest("epoch", "_own")).drop("_own")
@@ -97,7 +97,7 @@ def _children(level: DataFrame) -> DataFrame:
     )
 
 
-def fold_tree(events: DataFrame, span: int | None = CHUNK_SPAN) -> DataFrame:
+def fold_tree(events: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     """Leaves of the merged tree: session_id, topic, path, kind, value, in_list, seq.
 
     A leaf is a scalar or an empty container; ``value`` is its JSON. Payloads that

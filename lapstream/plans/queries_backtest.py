@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lapstream.operators.laps import as_of_lap, lap_cutoffs
 from lapstream.plans import backtest, standins
 from lapstream.plans.oracle_views import LAPS
 from lapstream.plans.registry import query, r6
@@ -74,21 +75,23 @@ def cars_as_of(spark, sf_dir):
 
 @query("m12_backtest")
 def run(spark, sf_dir):
-    """Usable fits to prediction rows; past laps of the car play the draws."""
+    """Usable fits to prediction rows; laps of the car known by then play the draws."""
     laps, counts = _inputs(spark, sf_dir)
     fits = cut_lineage(backtest.fits_as_of(laps, counts, ASKED), "fits")
     keys = list(backtest.KEYS)
     placed = standins.laps(spark, sf_dir, position=True, stints=False)
-    mine = placed.select(
-        "session_id", "driver", "position", "retired", "total_laps",
-        F.floor(F.col("lap") / 12).alias("draw"), (F.col("lap") % 12).alias("option_id"),
+    known = as_of_lap(placed, lap_cutoffs(counts, list(ASKED)))
+    draws = cut_lineage(
+        known.select(
+            *keys, "driver", "lap", "position", "retired", "total_laps",
+            F.floor(F.col("lap") / 12).alias("draw"), (F.col("lap") % 12).alias("option_id"),
+        ).join(fits.select(*keys), keys, "left_semi"),
+        "draws",
     )
-    asked = fits.select(*keys)
-    draws = mine.join(asked, "session_id")
-    subjects = mine.groupBy("session_id", "driver").agg(
-        F.max("total_laps").alias("total_laps"), F.max_by("position", "draw").alias("start_position")
+    subjects = draws.groupBy(*keys, "driver").agg(
+        F.max("total_laps").alias("total_laps"), F.max_by("position", "lap").alias("start_position")
     )
-    named = subjects.join(asked, "session_id").withColumns(
+    named = subjects.withColumns(
         {
             "session": F.col("session_id").cast("string"),
             "circuit": (F.col("session_id") % 10).cast("string"),

@@ -125,7 +125,7 @@ def board_rows(spark, sf_dir):
         fold.timing_state(timing), fold.stint_state(stints), fold.driver_state(drivers)
     )
     found_laps = laps.extract_laps(
-        timing, stints, drivers, fold.session_deltas(events), standins.span(spark, sf_dir)
+        timing, stints, drivers, fold.session_deltas(events)
     )
     trends = board.recent_laps(found_laps)
     found = board.board_rows(cars, trends, board.grid_positions(timing))
@@ -211,7 +211,7 @@ def message_lag(spark, sf_dir):
 def silence_segments(spark, sf_dir):
     """The stand-in feed is slow, so two hours of silence split it, not a minute."""
     frames = standins.feed(spark, sf_dir).select("session_id", "seq", F.col("ts").alias("arrival"))
-    found = board.silence_segments(frames, seconds=7200.0, span=standins.span(spark, sf_dir))
+    found = board.silence_segments(frames, seconds=7200.0)
     return found.select("session_id", "seq", "segment")
 
 

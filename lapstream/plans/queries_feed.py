@@ -10,6 +10,7 @@ from lapstream.operators.clean import was_neutralised
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED_LAPS, MSG, last_of, last_so_far
 from lapstream.plans.registry import joined, query, r6
+from lapstream.session import cut_lineage
 from lapstream.sources import recordings
 
 
@@ -28,13 +29,11 @@ def _cars(spark, sf_dir):
 
 def feed_laps(spark, sf_dir):
     events = _events(spark, sf_dir)
-    span = standins.span(spark, sf_dir)
     return laps.extract_laps(
         fold.timing_deltas(events),
         fold.stint_deltas(events),
         fold.driver_deltas(events),
         fold.session_deltas(events),
-        span,
     )
 
 
@@ -71,7 +70,7 @@ STINT_FIELDS = """
 def fold_tree(spark, sf_dir):
     """Leaves of the tyre and status trees after every message."""
     events = _events(spark, sf_dir).where(F.col("topic").isin("TimingAppData", "TrackStatus"))
-    leaves = tree.fold_tree(events, standins.span(spark, sf_dir)).where("kind = 'scalar'")
+    leaves = tree.fold_tree(events).where("kind = 'scalar'")
     return leaves.select("session_id", F.array_join("path", "/").alias("path"), "value")
 
 
@@ -98,7 +97,7 @@ def list_patches(spark, sf_dir):
         F.lit("List").alias("topic"),
         F.parse_json(F.when(k % 7 == 0, whole).otherwise(patch)).alias("payload"),
     )
-    lists = tree.list_arrays(tree.fold_tree(rows, standins.span(spark, sf_dir)))
+    lists = tree.list_arrays(tree.fold_tree(rows))
     shown = F.transform("elements", lambda e: F.coalesce(e, F.lit("null")))
     return lists.select("session_id", F.array_join(shown, ",").alias("elements"))
 
@@ -111,7 +110,7 @@ def list_patches(spark, sf_dir):
 )
 def fold_as_of(spark, sf_dir):
     deltas = fold.timing_deltas(_events(spark, sf_dir))
-    state = fold.timing_as_of(deltas, span=standins.span(spark, sf_dir))
+    state = fold.timing_as_of(deltas)
     return state.select("session_id", "car", "seq", "position", "in_pit", "gap_to_leader")
 
 
@@ -173,7 +172,7 @@ def lap_count(spark, sf_dir):
 )
 def status_spans(spark, sf_dir):
     session = fold.session_deltas(_events(spark, sf_dir))
-    return fold.status_spans(session, span=standins.span(spark, sf_dir))
+    return fold.status_spans(session)
 
 
 @query("c8_driver_dimension", f"WITH {CARS} SELECT session_id, car, tla, name, team FROM nstate")
@@ -227,8 +226,7 @@ def stint_projection(spark, sf_dir):
 def running_order(spark, sf_dir):
     from lapstream.operators import grid
 
-    small = standins.span(spark, sf_dir) is None
-    placed = grid.with_place(_cars(spark, sf_dir), small=small)
+    placed = grid.with_place(cut_lineage(_cars(spark, sf_dir), "cars"))
     return placed.select("session_id", "car", "place")
 
 
@@ -298,7 +296,7 @@ def completed_laps(spark, sf_dir):
 
 @query("d2_lap_number", f"WITH {FEED_LAPS} SELECT session_id, car, seq, lap FROM num")
 def lap_number(spark, sf_dir):
-    context = laps.car_context(_timeline(spark, sf_dir), standins.span(spark, sf_dir))
+    context = laps.car_context(cut_lineage(_timeline(spark, sf_dir), "timeline"))
     context = context.where("completes_lap")
     lap = F.coalesce("lap_sent", "laps_completed", F.lit(0)) - 1
     return context.select("session_id", "car", "seq", lap.alias("lap")).where("lap >= 1")
@@ -306,7 +304,7 @@ def lap_number(spark, sf_dir):
 
 @query("d3_drop_repeats", f"WITH {FEED_LAPS} SELECT session_id, car, seq, lap, prev_seq FROM acc")
 def drop_repeats(spark, sf_dir):
-    done = laps.completions(_timeline(spark, sf_dir), standins.span(spark, sf_dir))
+    done = laps.completions(_timeline(spark, sf_dir))
     return done.select("session_id", "car", "seq", "lap", "prev_seq")
 
 

@@ -10,6 +10,7 @@ import base64
 import zlib
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,23 +59,22 @@ READ = "k <> 99"
 
 @query(
     "a1_scan_recording",
-    f"""WITH {MSG} SELECT session_id, count(*) AS lines,
-      count(*) FILTER (k = 99) AS junk FROM msg GROUP BY session_id""",
+    f"""WITH {MSG} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place,
+      seq AS said, k = 99 AS junk FROM msg""",
 )
 def scan_recording(spark, sf_dir):
-    """Lines written as one text file per session, then scanned back in order."""
+    """Numbered lines written as one text file per session, then scanned back in order."""
     path = scratch_path(spark, "recording")
-    lines = _lines(spark, sf_dir).withColumn("file", F.col("session_id"))
-    lines.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    lines = _lines(spark, sf_dir).withColumn("file", F.col("session_id")).repartition("file")
+    numbered = F.concat(F.col("seq").cast("string"), F.lit("\t"), "line").alias("value")
+    lines.sortWithinPartitions("file", "seq").select("file", numbered).write.partitionBy("file").text(path)
     found = recordings.scan_recording(spark, f"{path}/*/*.txt")
-    session = F.regexp_extract(F.input_file_name(), "file=([^/]+)/", 1)
-    return (
-        found.select(session.alias("session_id"), "line")
-        .groupBy("session_id")
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.sum((F.col("line") == "not [ a line").cast("bigint")).alias("junk"),
-        )
+    along = Window.partitionBy("session_id").orderBy("seq")
+    return found.select(
+        F.regexp_extract("session_id", "^file=([^/]+)/", 1).alias("session_id"),
+        F.row_number().over(along).alias("place"),
+        F.substring_index("line", "\t", 1).cast("bigint").alias("said"),
+        (F.substring_index("line", "\t", -1) == "not [ a line").alias("junk"),
     )
 
 
@@ -243,7 +243,7 @@ def _frames(spark, sf_dir):
 def decode_frames(spark, sf_dir):
     events = frames.decode_frames(_frames(spark, sf_dir))
     return events.select(
-        "session_id", F.shiftright("seq", frames.PART_BITS).alias("frame"), "topic", "is_snapshot"
+        "session_id", frames.frame_of(F.col("seq")).alias("frame"), "topic", "is_snapshot"
     )
 
 

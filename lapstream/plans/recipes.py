@@ -10,19 +10,17 @@ from pyspark.sql import functions as F
 from lapstream.functions import race
 from lapstream.functions.text import normalise_circuit
 from lapstream.operators import clean, fold, grid, hazard, laps, ledger, pace
-from lapstream.operators.scan import chunk_span
 from lapstream.session import cut_lineage
 from lapstream.sources import history, predictions, recordings
 
 
 class Feed(NamedTuple):
-    """Opened feed rows, and the chunk length for scans over them."""
+    """Opened feed rows."""
 
     timing: DataFrame
     stints: DataFrame
     drivers: DataFrame
     session: DataFrame
-    span: int | None
 
 
 def open_feed(events: DataFrame) -> Feed:
@@ -32,7 +30,6 @@ def open_feed(events: DataFrame) -> Feed:
         cut_lineage(fold.stint_deltas(events), "stints"),
         cut_lineage(fold.driver_deltas(events), "drivers"),
         cut_lineage(fold.session_deltas(events), "session"),
-        chunk_span(events),
     )
 
 
@@ -45,7 +42,7 @@ def cars(feed: Feed) -> DataFrame:
 
 
 def lap_records(feed: Feed) -> DataFrame:
-    return laps.extract_laps(feed.timing, feed.stints, feed.drivers, feed.session, feed.span)
+    return laps.extract_laps(feed.timing, feed.stints, feed.drivers, feed.session)
 
 
 def topics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -153,14 +150,28 @@ def grid_at(spark: SparkSession, path: str, lap: int) -> dict[str, DataFrame]:
     }
 
 
-def score_log(spark: SparkSession, log: str, recording: str) -> dict[str, DataFrame]:
-    """Grade a prediction log against the finish of a recording."""
+def score_log(
+    spark: SparkSession, log: str, recording: str, sessions: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """Grade a prediction log against the finish of a recording.
+
+    ``sessions`` says which recorded session each session of the log is. Without it the
+    recording must be of one session, which is taken for all of the log.
+    """
     said = predictions.read_predictions(spark, log)
     feed = open_feed(recordings.read_recording(spark, recording))
-    finish = cut_lineage(ledger.finishing_positions(cars(feed)).drop("session_id"), "finish")
-    pairs = cut_lineage(ledger.scored_pairs(said, finish, ()), "pairs")
+    finish = cut_lineage(ledger.finishing_positions(cars(feed)), "finish")
+    keys: tuple[str, ...] = ()
+    if sessions is None:
+        if len(finish.select("session_id").distinct().limit(2).collect()) > 1:
+            raise ValueError("the recording holds several sessions; say which is which")
+        finish = finish.drop("session_id")
+    else:
+        named = spark.createDataFrame(list(sessions.items()), "session string, session_id string")
+        said, keys = said.join(named, "session", "left"), ("session_id",)
+    pairs = cut_lineage(ledger.scored_pairs(said, finish, keys), "pairs")
     return {
         "card": ledger.scorecard(pairs, ("session",)),
         "calibration": ledger.calibration(pairs, ("session",)),
-        "calls": ledger.call_table(said, finish, ()),
+        "calls": ledger.call_table(said, finish, keys),
     }

@@ -9,13 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapstream.operators.scan import chunk_span, ranked, running, with_chunk
-from lapstream.session import spread
-
-
-def span(spark: SparkSession, sf_dir: str) -> int | None:
-    """Chunk length for scans along ``seq``; None while everything fits in one chunk."""
-    return chunk_span(feed(spark, sf_dir))
+from lapstream.operators.scan import ranked, running, with_chunk
+from lapstream.session import cut_lineage, spread
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,32 +55,28 @@ def laps(
     added on request. Without ``stints`` the pass behind tyre age is left out.
     """
     raw = feed(spark, sf_dir)
-    step = chunk_span(raw)
-    chunk = "chunk" if step else None
     car = ["session_id", "driver"]
     pit = F.col("topic") == "purchase"
     entered = pit.cast("bigint")
     counted = running(
-        with_chunk(raw, "seq", step),
+        with_chunk(raw, "seq"),
         car,
         "seq",
         number="lap",
         size="driver_laps",
         sums={"stops": entered},
         lags={"pit_before": entered},
-        span=step,
-        chunk=chunk,
+        chunk="chunk",
     )
     exited = F.coalesce(F.col("pit_before") == 1, F.lit(False))
     staged = counted.withColumn("stint_start", F.lit(None).cast("bigint"))
     if stints:
         staged = running(
-            counted,
+            cut_lineage(counted, "counted"),
             car,
             "seq",
             maxima={"stint_start": F.when(exited, F.col("lap"))},
-            span=step,
-        chunk=chunk,
+            chunk="chunk",
         )
     stint = F.col("stops") - entered
     extra = F.when(F.col("value") > 200, 60.0).otherwise(0.0)
@@ -299,9 +290,9 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome draws made of laps: four options per race, a draw every four laps."""
     rows = laps(spark, sf_dir, position=True, stints=False)
-    step = chunk_span(feed(spark, sf_dir))
     millis = F.round(F.coalesce("lap_time", F.lit(120.0)) * 1000).cast("bigint")
-    timed = running(rows, ["session_id", "driver"], "seq", sums={"millis": millis}, span=step)
+    rows = cut_lineage(rows.withColumn("millis_of_lap", millis), "draws")
+    timed = running(rows, ["session_id", "driver"], "seq", sums={"millis": F.col("millis_of_lap")})
     return timed.select(
         "session_id",
         (F.col("lap") % 4).alias("option_id"),
@@ -337,8 +328,7 @@ def finish(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("score"),
         F.bool_or("retired").alias("out"),
     )
-    step = chunk_span(feed(spark, sf_dir))
-    chunk = -F.floor(F.col("score") / 1000) if step else None
+    chunk = -F.floor(F.col("score") / 1000)
     placed = ranked(
         per_car, ["session_id"], [F.desc("score"), F.col("driver")], chunk, "actual"
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +30,36 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (plain local
-    tests) a scratch folder is made.
+    ``spark.checkpoint.dir`` names it; Spark makes one folder per application in it.
+    Where it is unset a scratch folder is made, but only in local mode: the disks of a
+    cluster's executors are not shared, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder; call it at the end of a run."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, never reused between runs."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def cut_lineage(df: DataFrame, label: str = "step", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders ``by`` column, and read it back.
 
     For results that are small against their inputs and used several times, such
     as the counts behind a fit. The files outlive a lost executor, and their known
@@ -52,8 +67,8 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -12,17 +12,18 @@ from lapstream.sources.recordings import is_packed, packed_payload, plain_topic
 SEPARATOR = "\x1e"
 SNAPSHOT, INVOCATION, FEED_TARGET = 3, 1, "feed"
 
-PART_BITS, TOPIC_BITS = 24, 8
+# Room in ``seq`` for the messages of a frame and the topics of a message; checked.
+PART_BITS, TOPIC_BITS = 16, 16
 
 
 def split_frames(frames: DataFrame) -> DataFrame:
-    """One row per readable message: frame columns, ``part`` and ``message``."""
+    """One row per readable message: frame columns, ``part``, ``text`` and ``message``."""
     parts = frames.select("*", F.posexplode(F.split("raw", SEPARATOR)).alias("part", "text"))
     return (
         parts.where(F.trim("text") != "")
         .withColumn("message", F.try_parse_json("text"))
         .where(F.col("message").isNotNull())
-        .drop("text", "raw")
+        .drop("raw")
     )
 
 
@@ -30,11 +31,22 @@ def _get(path: str, kind: str) -> Column:
     return F.try_variant_get("message", path, kind)
 
 
+def frame_of(seq: Column) -> Column:
+    """Frame number of an event."""
+    return F.shiftright(seq, PART_BITS + TOPIC_BITS)
+
+
+def _names(path: str) -> Column:
+    """Keys of an object in the order in which they were sent."""
+    return F.json_object_keys(F.get_json_object("text", path))
+
+
 def decode_frames(frames: DataFrame) -> DataFrame:
     """Feed events of captured frames (``session_id, frame, raw, arrival``).
 
     A snapshot message gives one event per topic, a feed message one event; pings,
-    closes and unreadable parts give none. ``seq`` orders frame, part and topic.
+    closes and unreadable parts give none. ``seq`` orders frame, part and topic, topics
+    of a snapshot as they stand in it. A frame that does not fit into ``seq`` stops the read.
     """
     messages = split_frames(frames)
     kind = _get("$.type", "int")
@@ -45,7 +57,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     )
     snapshot = inside.select(
         "session_id", "frame", "part", "arrival",
-        F.col("pos").alias("place"), F.col("key").alias("topic"),
+        (F.array_position(_names("$.result"), F.col("key")) - 1).alias("place"), F.col("key").alias("topic"),
         F.col("value").alias("payload"), F.lit(None).cast("string").alias("ts_raw"),
     )
     feed = messages.where(
@@ -53,7 +65,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         & (_get("$.target", "string") == FEED_TARGET)
         & _get("$.arguments[1]", "variant").isNotNull()
     ).select(
-        "session_id", "frame", "part", "arrival", F.lit(0).alias("place"),
+        "session_id", "frame", "part", "arrival", F.lit(0).cast("bigint").alias("place"),
         _get("$.arguments[0]", "string").alias("topic"),
         _get("$.arguments[1]", "variant").alias("payload"),
         _get("$.arguments[2]", "string").alias("ts_raw"),
@@ -65,12 +77,20 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     opened = opened.withColumn(
         "payload", F.when(F.col("_packed"), F.col("_opened")).otherwise(F.col("payload"))
     )
-    ordered = F.shiftleft(F.col("frame"), PART_BITS) + F.shiftleft("part", TOPIC_BITS)
+    ordered = F.shiftleft(F.col("frame").cast("bigint"), PART_BITS + TOPIC_BITS)
+    ordered += F.shiftleft(F.col("part").cast("bigint"), TOPIC_BITS)
+    fits = (
+        (F.col("place") < (1 << TOPIC_BITS))
+        & (F.col("part") < (1 << PART_BITS))
+        & (F.col("frame") < (1 << (63 - PART_BITS - TOPIC_BITS)))
+    )
     return (
         opened.where(F.col("payload").isNotNull())
         .select(
             "session_id",
-            (ordered + F.col("place")).alias("seq"),
+            F.when(fits, ordered + F.col("place"))
+            .otherwise(F.raise_error(F.lit("a frame has more messages or topics than seq has room for")))
+            .alias("seq"),
             plain_topic(F.col("topic")).alias("topic"),
             "payload",
             parse_timestamp(F.col("ts_raw")).alias("ts"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import zlib
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapstream.functions.text import parse_timestamp
+from lapstream.session import cut_lineage
 
 # Topics of the feed.
 TOPICS = (
@@ -54,21 +56,44 @@ DECODED = T.StructType(
 )
 
 
+def session_of(file_path: Column, path: str) -> Column:
+    """Session of a file: its path below the folder that ``path`` names before any
+    pattern, without the extension. Files of one name in two folders stay apart."""
+    root = re.split(r"[*?{\[]", path, maxsplit=1)[0].rpartition("/")[0]
+    root = re.sub(r"^\w+:/*", "/", root) + "/"
+    start = F.instr(file_path, root)
+    below = F.when(start > 0, F.substr(file_path, start + len(root))).otherwise(file_path)
+    named = below if root != "/" else F.substring_index(file_path, "/", -1)
+    return F.regexp_replace(named, r"\.[^./]*$", "")
+
+
 def scan_recording(spark: SparkSession, path: str) -> DataFrame:
     """``(session_id, seq, line)`` of every non-blank line; one file is one session.
 
     ``seq`` grows along the file without a shuffle: splits of a file are ordered
-    by where they start, lines within a split by the task's running number.
+    by where they start, lines within a split by the task's running number. A split
+    with more lines than the number has room for stops the read.
     """
-    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    counted = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     split = F.floor(F.col("_metadata.file_block_start") / SPLIT_UNIT)
+    whole = F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    room = (F.col("number") < (1 << LINE_BITS)) | F.col("whole")
     return (
         spark.read.text(path)
         .select(
-            F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("session_id"),
-            (F.shiftleft(split, LINE_BITS) + number).alias("seq"),
+            session_of(F.col("_metadata.file_path"), path).alias("session_id"),
+            split.alias("split"),
+            counted.alias("number"),
+            whole.alias("whole"),
             F.col("value").alias("line"),
         )
+        .select(
+            "session_id",
+            F.when(room, F.shiftleft("split", LINE_BITS) + F.col("number"))
+            .otherwise(F.raise_error(F.lit("more lines in a split than line numbers")))
+            .alias("seq"),
+            "line",
+        )
         .where(F.trim("line") != "")
     )
 
@@ -90,14 +115,45 @@ def read_line(line: str) -> tuple[str, str, bool, str | None] | None:
 
 
 @F.pandas_udf(DECODED)
-def _decode(lines: pd.Series) -> pd.DataFrame:
-    rows = [read_line(x) or (None, None, None, None) for x in lines]
+def _read_lines(lines: pd.Series) -> pd.DataFrame:
+    nothing = (None, None, None, None)
+    rows = [nothing if x is None else read_line(x) or nothing for x in lines]
     return pd.DataFrame(rows, columns=["topic", "payload", "is_text", "ts"])
 
 
+# Not deterministic to the optimizer, which would else copy the call below each filter
+# on its result and read every line more than once.
+_decode = _read_lines.asNondeterministic()
+
+
+def _json_line(line: Column) -> Column:
+    """Array of a line that is JSON and means the same as a literal: without escapes."""
+    return F.when(~F.contains(line, F.lit("\\")), F.try_parse_json(line))
+
+
 def decode_lines(lines: DataFrame) -> DataFrame:
-    """Add ``topic, payload, is_text, ts_raw``; ``topic`` is NULL where unreadable."""
-    return lines.withColumn("_d", _decode("line")).select(
+    """Add ``topic, payload, is_text, ts_raw``; ``topic`` is NULL where unreadable.
+
+    JSON lines are taken apart by Spark; only other lines are handed to Python.
+    """
+
+    def part(i: int, kind: str) -> Column:
+        return F.try_variant_get("_v", f"$[{i}]", kind)
+
+    def is_string(i: int) -> Column:
+        return F.coalesce(F.schema_of_variant(part(i, "variant")) == "STRING", F.lit(False))
+
+    opened = lines.withColumn("_v", _json_line(F.col("line")))
+    opened = opened.withColumn("_native", is_string(0) & part(1, "variant").isNotNull())
+    native = F.struct(
+        part(0, "string").alias("topic"),
+        F.when(is_string(1), part(1, "string")).otherwise(F.to_json(part(1, "variant"))).alias("payload"),
+        is_string(1).alias("is_text"),
+        part(2, "string").alias("ts"),
+    )
+    both = opened.withColumn("_p", _decode(F.when(~F.col("_native"), F.col("line"))))
+    both = both.withColumn("_d", F.when(F.col("_native"), native).otherwise(F.col("_p")))
+    return both.select(
         *lines.columns, "_d.topic", "_d.payload", "_d.is_text", F.col("_d.ts").alias("ts_raw")
     )
 
@@ -112,7 +168,7 @@ def quarantine(decoded: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def inflate(blobs: pd.Series) -> pd.Series:
+def _inflate(blobs: pd.Series) -> pd.Series:
     """Raw-deflate bytes to text; NULL where the bytes are damaged."""
 
     def one(blob: bytes | None) -> str | None:
@@ -124,6 +180,9 @@ def inflate(blobs: pd.Series) -> pd.Series:
     return blobs.map(one)
 
 
+inflate = _inflate.asNondeterministic()
+
+
 def is_packed(topic: Column) -> Column:
     return topic.endswith(".z")
 
@@ -195,8 +254,13 @@ def subscribe(events: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
 
 
 def read_recording(spark: SparkSession, path: str) -> DataFrame:
-    """Recording file(s) straight to feed events with session time."""
-    return with_session_time(to_events(decode_lines(scan_recording(spark, path))))
+    """Recording file(s) straight to feed events with session time.
+
+    Lines are decoded once; the events are written by topic, so that whoever wants some
+    topics reads only those.
+    """
+    decoded = to_events(decode_lines(scan_recording(spark, path)))
+    return with_session_time(cut_lineage(decoded, "events", ("topic",)))
 
 
 def capture(stream: DataFrame, column: str, path: str, checkpoint: str):

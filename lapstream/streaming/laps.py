@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
@@ -24,7 +24,7 @@ from lapstream.operators.laps import CONTEXT
 SHARDS = 16
 
 ROW_FIELDS = (
-    "session_id", "shard", "car", "seq", "kind", "completes_lap", "lap_time", *CONTEXT,
+    "session_id", "shard", "car", "seq", "kind", "completes_lap", "lap_time", "seconds", *CONTEXT,
     "stint", "compound", "total_laps", "tla", "team", "status",
 )
 
@@ -47,16 +47,24 @@ LAPS = T.StructType(
         T.StructField("entered_pit", T.BooleanType()),
         T.StructField("exited_pit", T.BooleanType()),
         T.StructField("retired", T.BooleanType()),
+        T.StructField("seconds", T.DoubleType()),
     ]
 )
 CAR_KEY = T.StructType([T.StructField("car", T.StringType())])
 TEXT_VALUE = T.StructType([T.StructField("text", T.StringType())])
 
 
+def _seconds(time: Column) -> Column:
+    """An interval as seconds, the form in which it goes through keyed state."""
+    parts = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    return sum(F.extract(F.lit(p), time).cast("double") * s for p, s in parts.items())
+
+
 def lap_rows(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Everything a lap depends on, one row per change, with its shard."""
     timing = fold.timing_deltas(events).select(
-        "session_id", "car", "seq", "completes_lap", "lap_time", *CONTEXT
+        "session_id", "car", "seq", "completes_lap", "lap_time", *CONTEXT,
+        _seconds(F.col("session_time")).alias("seconds"),
     ).withColumn("kind", F.lit("timing"))
     stints = fold.stint_deltas(events).select(
         "session_id", "car", "seq", "stint", "compound", "total_laps"
@@ -132,6 +140,7 @@ def complete(car: dict, row: dict, track: dict) -> dict | None:
         "entered_pit": bool(car.get("prev_in_pit")) or car.get("pit_seen", -1) > since,
         "exited_pit": bool(car.get("prev_pit_out")) or car.get("out_seen", -1) > since,
         "retired": bool(car.get("retired")) or bool(car.get("stopped")),
+        "seconds": row["seconds"],
     }
     car.update(
         last_lap=lap,
@@ -204,6 +213,9 @@ def stream_laps(events: DataFrame, shards: int = SHARDS) -> DataFrame:
             timeMode="None",
         )
     )
-    return found.withColumn("interval", interval_seconds(F.col("interval_text"))).drop(
-        "interval_text"
+    zero = F.lit(0)
+    return (
+        found.withColumn("interval", interval_seconds(F.col("interval_text")))
+        .withColumn("session_time", F.make_dt_interval(zero, zero, zero, F.col("seconds")))
+        .drop("interval_text", "seconds")
     )

@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from lapstream.session import local_session
+    from lapstream.session import drop_scratch, local_session
 
     session = local_session("4", 4)
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -53,7 +53,9 @@ def test_topics(spark, recording):
 
 def test_board(spark, recording):
     rows = recipes.board(spark, recording).collect()
-    assert [(r["code"], r["tyre"], r["gap_to_leader"]) for r in rows] == [("ANA", "MED", None), ("BOB", "HAR", "+1.200")]
+    assert [(r["code"], r["tyre"], r["gap_to_leader"]) for r in rows] == [
+        ("KIT", "SOF", "LAP 5"), ("LUX", "HAR", "+2.750"), ("MOR", "INT", "+8.000")
+    ]
     assert recipes.board(spark, recording, limit=1).count() == 1
 
 
@@ -94,6 +96,21 @@ def test_hazard_report(spark, tmp_path):
     assert found["retirements"].first()["expected"] > 0
 
 
+def test_score_log_of_several_sessions(spark, tmp_path):
+    for name, order in (("one", "12"), ("two", "21")):
+        lines = [["TimingData", {"Lines": {car: {"Position": str(i + 1)} for i, car in enumerate(order)}}, at(0)]]
+        write(tmp_path, lines, f"{name}.txt")
+    log = tmp_path / "log"
+    log.mkdir()
+    calls = [{"session": s, "driver": "1", "lap": 3, "position": 1, "p_top3": 1.0} for s in ("A", "B")]
+    (log / "a.jsonl").write_text("\n".join(map(json.dumps, calls)))
+    path = str(tmp_path / "*.txt")
+    found = recipes.score_log(spark, str(log), path, {"A": "one", "B": "two"})["calls"]
+    assert sorted(r["result"] for r in found.collect()) == ["P1", "P2"]
+    with pytest.raises(ValueError, match="several sessions"):
+        recipes.score_log(spark, str(log), path)
+
+
 def test_score_log(spark, race, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
