@@ -310,13 +310,26 @@ def drop_repeats(spark, sf_dir):
 
 @query(
     "d4_lap_context",
-    f"""WITH {FEED_LAPS} SELECT session_id, driver, seq, lap, round(lap_time, 6) AS lap_time, tla,
+    f"""WITH {FEED_LAPS}, began AS (SELECT session_id, arg_min(ts, seq) AS t0 FROM msg GROUP BY 1)
+    SELECT f.session_id, driver, f.seq, lap, round(lap_time, 6) AS lap_time, tla,
       team, compound, tyre_age, stint, position, round(gap_s, 6) AS "interval", gap_to_leader,
-      retired FROM flaps""",
+      retired, round((epoch_us(m.ts) - epoch_us(t0)) / CAST(1000000 AS DOUBLE), 6) AS seconds
+    FROM flaps f JOIN msg m ON m.session_id = f.session_id AND m.seq = f.seq
+      JOIN began b ON b.session_id = f.session_id""",
 )
 def lap_context(spark, sf_dir):
-    found = feed_laps(spark, sf_dir).drop("track_statuses", "entered_pit", "exited_pit")
-    return found.withColumns({"lap_time": r6("lap_time"), "interval": r6("interval")})
+    events = recordings.with_session_time(_events(spark, sf_dir))
+    found = laps.extract_laps(
+        fold.timing_deltas(events),
+        fold.stint_deltas(events),
+        fold.driver_deltas(events),
+        fold.session_deltas(events),
+    )
+    seconds = F.extract(F.lit("DAY"), "session_time") * 86400 + F.extract(F.lit("HOUR"), "session_time") * 3600
+    seconds += F.extract(F.lit("MINUTE"), "session_time") * 60 + F.extract(F.lit("SECOND"), "session_time")
+    return found.withColumn("seconds", r6(seconds.cast("double"))).drop(
+        "track_statuses", "entered_pit", "exited_pit", "session_time"
+    ).withColumns({"lap_time": r6("lap_time"), "interval": r6("interval")})
 
 
 @query(

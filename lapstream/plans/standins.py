@@ -120,7 +120,7 @@ def laps(
         timed,
         ["session_id", "lap"],
         [F.col("value").desc(), F.col("driver")],
-        -F.floor("value") if step else None,
+        -F.floor("value"),
         "position",
     )
 

@@ -61,11 +61,15 @@ def _seconds(time: Column) -> Column:
 
 
 def lap_rows(events: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Everything a lap depends on, one row per change, with its shard."""
+    """Everything a lap depends on, one row per change, with its shard.
+
+    Timing rows that neither complete a lap nor change what a lap records stay out.
+    """
+    matters = F.col("completes_lap") | F.coalesce(*[F.col(c).cast("string") for c in CONTEXT]).isNotNull()
     timing = fold.timing_deltas(events).select(
         "session_id", "car", "seq", "completes_lap", "lap_time", *CONTEXT,
         _seconds(F.col("session_time")).alias("seconds"),
-    ).withColumn("kind", F.lit("timing"))
+    ).where(matters).withColumn("kind", F.lit("timing"))
     stints = fold.stint_deltas(events).select(
         "session_id", "car", "seq", "stint", "compound", "total_laps"
     ).withColumn("kind", F.lit("stint"))
@@ -82,13 +86,6 @@ def lap_rows(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     return cars.unionByName(status, allowMissingColumns=True).select(*ROW_FIELDS)
 
 
-def _value(x):
-    """A cell as a plain Python value; None where missing."""
-    if x is None or x is pd.NA or (isinstance(x, float) and pd.isna(x)):
-        return None
-    return x.item() if hasattr(x, "item") else x
-
-
 def update_car(car: dict, row: dict) -> None:
     """Fold one change into what is known of a car."""
     seq = row["seq"]
@@ -170,8 +167,8 @@ class LapProcessor(StatefulProcessor):
         track = json.loads(self.track.get()[0]) if self.track.exists() else {}
         touched: dict[str, dict] = {}
         done = []
-        for cells in batch.to_dict("records"):
-            row = {name: _value(x) for name, x in cells.items()}
+        plain = batch.astype(object).where(batch.notna(), None)
+        for row in plain.to_dict("records"):
             if row["kind"] == "status":
                 change_status(track, row)
                 continue
