@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapstream.functions.text import compound_short, is_gap
+from lapstream.functions.race import laps_remaining, progress
+from lapstream.functions.text import compound_short, is_gap, is_neutralised, track_status_name
 from lapstream.operators.clean import was_neutralised
 from lapstream.operators.fold import CAR, order_columns
 from lapstream.operators.scan import CHUNK_SPAN, running
@@ -208,6 +209,29 @@ def latency_summary(frames: DataFrame, order: str = "seq", limit: int = LATENCY_
     )
 
 
+def session_rows(session: DataFrame, cars: DataFrame) -> DataFrame:
+    """One row per session: lap and progress, track status, weather, fastest lap so far.
+
+    ``session`` is the final or as-of session state, ``cars`` the timing state of its cars.
+    """
+    best = cars.groupBy("session_id").agg(F.min("best_lap_time").alias("session_best"))
+    return session.join(best, "session_id", "left").select(
+        "session_id",
+        "session_name",
+        "circuit",
+        "lap",
+        "total_laps",
+        progress(F.col("lap"), F.col("total_laps")).alias("progress"),
+        laps_remaining(F.col("lap"), F.col("total_laps")).alias("laps_remaining"),
+        track_status_name(F.col("status")).alias("track_status"),
+        is_neutralised(F.col("status")).alias("neutralised"),
+        "air_temp",
+        "track_temp",
+        "rainfall",
+        F.round("session_best", 3).alias("session_best"),
+    )
+
+
 def silence_segments(
     frames: DataFrame,
     order: str = "seq",

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lapstream.operators import board, fold, laps, pace
 from lapstream.plans import standins
-from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED, FEED_LAPS, LAPS, MSG
+from lapstream.plans.oracle_views import CAR_KEYS, CARS, FEED, FEED_LAPS, LAPS, MSG, last_of
 from lapstream.plans.queries_feed import _events
-from lapstream.plans.queries_pace import cleaned
+from lapstream.plans.queries_pace import CODE, REFUSED, cleaned
 from lapstream.plans.registry import query, r6
 from lapstream.session import cut_lineage
 
@@ -135,11 +135,26 @@ def board_rows(spark, sf_dir):
     )
 
 
-@query("n7_model_summary")
+@query(
+    "n7_model_summary",
+    f"""WITH RECURSIVE {REFUSED}, counted AS (SELECT session_id, count(*) AS clean_laps FROM clean GROUP BY 1),
+      runs AS (SELECT session_id, count(DISTINCT (driver, stint)) AS stints
+        FROM rows JOIN fits USING (session_id) GROUP BY 1),
+      rates AS (SELECT session_id, string_agg({CODE} || ':' || CAST(CAST(round(degradation * 10000) AS BIGINT)
+        AS VARCHAR), ',' ORDER BY degradation DESC, compound) AS wear FROM wear GROUP BY 1)
+    SELECT session_id, clean_laps, stints, round(trend, 4) AS trend, round(residual_std, 3) AS residual,
+      round(r_squared, 3) AS r2, wear
+    FROM fitted JOIN counted USING (session_id) JOIN runs USING (session_id) JOIN rates USING (session_id)
+    WHERE session_id NOT IN (SELECT session_id FROM refused)""",
+)
 def model_summary(spark, sf_dir):
     clean = cut_lineage(cleaned(spark, sf_dir), "clean")
     found = board.model_summary(pace.fit_pace(clean), clean)
-    return found.drop("degradation", "warnings")
+    rate = F.transform(
+        "degradation",
+        lambda e: F.concat(e["code"], F.lit(":"), F.round(e["rate"] * 10000).cast("bigint").cast("string")),
+    )
+    return found.withColumn("wear", F.array_join(rate, ",")).drop("degradation", "warnings")
 
 
 def _frames(spark, sf_dir):
@@ -225,3 +240,21 @@ def is_gap(spark, sf_dir):
 
     deltas = fold.timing_deltas(_events(spark, sf_dir))
     return deltas.select("session_id", "car", "seq", gap(F.col("interval_text")).alias("is_gap"))
+
+
+@query(
+    "n11_session_row",
+    f"""WITH {MSG}, s AS (SELECT session_id, coalesce({last_of("name")}, '') AS session_name,
+      coalesce({last_of("short_name")}, {last_of("location")}, '') AS circuit,
+      coalesce({last_of("lap")}, 0) AS lap, coalesce({last_of("total_laps")}, 0) AS total_laps,
+      {last_of("air")} AS air_temp, {last_of("track")} AS track_temp,
+      coalesce({last_of("rain")}, FALSE) AS rainfall,
+      coalesce({last_of("status")}, '0') IN ('4', '5', '6') AS neutralised FROM sess GROUP BY session_id)
+    SELECT *, CASE WHEN total_laps > 0 THEN round(lap / total_laps, 4) ELSE 0 END AS progress,
+      greatest(0, total_laps - lap) AS laps_remaining FROM s""",
+)
+def session_row(spark, sf_dir):
+    events = standins.feed_events(spark, sf_dir)
+    session = fold.session_state(fold.session_deltas(events))
+    rows = board.session_rows(session, fold.timing_state(fold.timing_deltas(events)))
+    return rows.drop("track_status", "session_best")

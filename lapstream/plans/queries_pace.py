@@ -10,6 +10,7 @@ from lapstream.plans.registry import joined, query, r6
 from lapstream.session import cut_lineage
 
 KEYS = ["session_id"]
+CODE = "CASE compound WHEN 'HARD' THEN 'HAR' WHEN 'MEDIUM' THEN 'MED' WHEN 'SOFT' THEN 'SOF' ELSE left(compound, 3) END"
 
 FIT = (
     BEST
@@ -34,6 +35,63 @@ feat AS (
     WHERE compound <> 'UNKNOWN' AND compound <> reference)"""
 )
 
+# Least squares by elimination of the normal equations, one matrix per fit. A column that
+# depends on those before it leaves a pivot of nothing; it gets coefficient 0 and does not
+# count for the rank, which changes neither the residuals nor, at full rank, anything.
+SOLVE = (
+    FIT
+    + """,
+y AS (
+  SELECT r.session_id, r.seq, lap_time - avg(lap_time) OVER (PARTITION BY r.session_id) AS y,
+    avg(lap_time) OVER (PARTITION BY r.session_id) AS level
+  FROM rows r JOIN fits USING (session_id)),
+fidx AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY cls, feature) AS i
+  FROM (SELECT DISTINCT session_id, cls, feature FROM feat JOIN fits USING (session_id))),
+cell AS (
+  SELECT f.session_id, i, seq, v FROM feat f JOIN fidx USING (session_id, cls, feature)),
+prod AS (
+  SELECT a.session_id, a.i, b.i AS j, sum(a.v * b.v) AS v
+  FROM cell a JOIN cell b ON a.session_id = b.session_id AND a.seq = b.seq GROUP BY 1, 2, 3),
+rhs AS (SELECT session_id, i, sum(v * y) AS v FROM cell JOIN y USING (session_id, seq) GROUP BY 1, 2),
+dense AS (
+  SELECT a.session_id, a.i, list(coalesce(p.v, 0) ORDER BY b.i) AS r
+  FROM fidx a JOIN fidx b ON a.session_id = b.session_id
+    LEFT JOIN prod p ON p.session_id = a.session_id AND p.i = a.i AND p.j = b.i
+  GROUP BY 1, 2),
+mats AS (
+  SELECT session_id, count(*) AS w, list(list_append(r, v) ORDER BY i) AS m, list(r[i] ORDER BY i) AS d,
+    list(v ORDER BY i) AS b
+  FROM dense JOIN rhs USING (session_id, i) GROUP BY 1),
+elim AS (
+  SELECT session_id, w, m, d, b, 1 AS k, CAST([] AS BOOLEAN[]) AS live FROM mats
+  UNION ALL
+  SELECT session_id, w, CASE WHEN m[k][k] > 1e-9 * d[k] THEN list_transform(m, lambda r, n:
+      CASE WHEN n = k THEN list_transform(r, lambda x: x / m[k][k])
+      ELSE list_transform(list_zip(r, m[k]), lambda z: z[1] - r[k] / m[k][k] * z[2]) END) ELSE m END,
+    d, b, k + 1, list_append(live, m[k][k] > 1e-9 * d[k])
+  FROM elim WHERE k <= w),
+beta AS (
+  SELECT session_id, cls, feature, i, CASE WHEN live[i] THEN m[i][w + 1] ELSE 0 END AS beta
+  FROM elim JOIN fidx USING (session_id) WHERE k = w + 1),
+quality AS (
+  SELECT e.session_id, w AS width, len(list_filter(live, lambda x: x)) AS rank, n,
+    tss, tss - (SELECT sum(beta * b[t.i]) FROM beta t WHERE t.session_id = e.session_id) AS rss, level
+  FROM elim e JOIN (SELECT session_id, count(*) AS n, sum(y * y) AS tss, any_value(level) AS level
+    FROM y GROUP BY 1) USING (session_id) WHERE k = w + 1),
+fitted AS (
+  SELECT q.session_id, rank, width, rank = width AS whole, n,
+    max(CASE WHEN cls = 2 THEN beta END) AS trend,
+    max(CASE WHEN cls = 1 THEN beta END) - min(CASE WHEN cls = 1 THEN beta END) AS pace_spread,
+    sqrt(greatest(rss, 0) / (n - least(width, n - 1))) AS residual_std, 1 - rss / tss AS r_squared
+  FROM quality q JOIN beta USING (session_id) GROUP BY ALL),
+wear AS (
+  SELECT session_id, substr(a.feature, 5) AS compound, a.beta AS degradation, coalesce(o.beta, 0) AS "offset"
+  FROM beta a LEFT JOIN beta o ON o.session_id = a.session_id AND o.cls = 4
+    AND substr(o.feature, 8) = substr(a.feature, 5) WHERE a.cls = 3)"""
+)
+SOLVE = SOLVE.replace("SELECT session_id, substr(a.feature, 5)", "SELECT a.session_id, substr(a.feature, 5)")
+
 
 def cleaned(spark, sf_dir):
     return clean.clean_laps(classified(spark, sf_dir))
@@ -96,9 +154,20 @@ def fits(spark, sf_dir):
     return pace.fit_pace(cut_lineage(cleaned(spark, sf_dir), "clean"), KEYS)
 
 
-@query("g5_pace_fit")
+def _whole(value):
+    """A value that only a fit of full rank determines."""
+    return F.when(F.col("rank") == F.col("width"), value)
+
+
+@query(
+    "g5_pace_fit",
+    f"""WITH RECURSIVE {SOLVE} SELECT session_id, rank, width,
+      CASE WHEN whole THEN round(trend, 5) END AS trend FROM fitted""",
+)
 def pace_fit(spark, sf_dir):
-    return fits(spark, sf_dir).select("session_id", "rank", "width", r6("trend").alias("trend"))
+    return fits(spark, sf_dir).select(
+        "session_id", "rank", "width", _whole(F.round("trend", 5)).alias("trend")
+    )
 
 
 @query(
@@ -112,22 +181,42 @@ def fit_quality(spark, sf_dir):
     return fits(spark, sf_dir).select("session_id", "n_laps", r6(spread).alias("total_std"))
 
 
-@query("g6_residuals")
+@query(
+    "g6_residuals",
+    f"""WITH RECURSIVE {SOLVE} SELECT session_id, round(residual_std, 5) AS residual_std,
+      round(r_squared, 5) AS r_squared FROM fitted""",
+)
 def residuals(spark, sf_dir):
     return fits(spark, sf_dir).select(
-        "session_id", r6("residual_std").alias("residual_std"), r6("r_squared").alias("r_squared")
+        "session_id",
+        F.round("residual_std", 5).alias("residual_std"),
+        F.round("r_squared", 5).alias("r_squared"),
     )
 
 
-@query("g7_coefficients")
+@query(
+    "g7_coefficients",
+    f"""WITH RECURSIVE {SOLVE} SELECT session_id, round(trend, 5) AS trend, compound,
+      round(degradation, 5) AS degradation, round("offset", 4) AS "offset"
+    FROM wear JOIN fitted USING (session_id) WHERE whole""",
+)
 def coefficients(spark, sf_dir):
-    return pace.coefficient_rows(fits(spark, sf_dir))
+    whole = fits(spark, sf_dir).where(F.col("rank") == F.col("width"))
+    return pace.coefficient_rows(whole).withColumns(
+        {"trend": F.round("trend", 5), "degradation": F.round("degradation", 5), "offset": F.round("offset", 4)}
+    )
 
 
-@query("g7_driver_pace")
+@query(
+    "g7_driver_pace",
+    f"""WITH RECURSIVE {SOLVE} SELECT session_id, CAST(substr(feature, 8) AS BIGINT) AS driver,
+      round(beta + level, 4) AS pace
+    FROM beta JOIN quality USING (session_id) WHERE cls = 1 AND rank = width""",
+)
 def driver_pace(spark, sf_dir):
     usable = cut_lineage(cleaned(spark, sf_dir), "clean")
-    return pace.pace_table(usable, pace.fit_pace(usable, KEYS), KEYS)
+    whole = pace.fit_pace(usable, KEYS).where(F.col("rank") == F.col("width"))
+    return pace.pace_table(usable, whole, KEYS).withColumn("pace", F.round("pace", 4))
 
 
 @query(
@@ -151,13 +240,42 @@ def phase_warning(spark, sf_dir):
     return fits(spark, sf_dir).select("session_id", pace.phase_separated().alias("separated"))
 
 
-@query("g10_usable_fits")
+REFUSED = (
+    SOLVE
+    + f""",
+said AS (
+  SELECT session_id, printf('positive trend: %+.4f s/lap', trend) AS text FROM fitted WHERE whole AND trend > 0
+  UNION ALL SELECT session_id, printf('driver spread %.1f s', pace_spread) FROM fitted
+    WHERE whole AND pace_spread > 10
+  UNION ALL SELECT session_id, printf('%s wear out of range: %+.2f s/lap', {CODE}, degradation)
+    FROM wear JOIN fitted USING (session_id) WHERE whole AND abs(degradation) > 1
+  UNION ALL SELECT session_id, 'effects not identified' FROM fitted WHERE NOT whole),
+refused AS (SELECT session_id, string_agg(text, ',' ORDER BY text) AS refusals FROM said GROUP BY 1)"""
+)
+
+
+@query(
+    "g10_usable_fits",
+    f"""WITH RECURSIVE {REFUSED}, warned AS (
+      SELECT session_id, 'compounds separated by race phase' AS text FROM (SELECT session_id,
+          count(*) > 1 AND (max(phase) - min(phase)) / CAST(any_value(max_lap) AS DOUBLE)
+            > CAST(0.35 AS DOUBLE) AS apart FROM used JOIN fits USING (session_id) GROUP BY 1) WHERE apart
+      UNION ALL SELECT session_id, printf('%s wear negative: %+.4f s/lap', {CODE}, degradation)
+        FROM wear WHERE degradation < 0)
+    SELECT f.session_id, round(trend, 5) AS trend, coalesce((SELECT string_agg(text, ',' ORDER BY text)
+        FROM warned w WHERE w.session_id = f.session_id), '') AS warnings
+    FROM fitted f WHERE f.session_id NOT IN (SELECT session_id FROM refused)""",
+)
 def usable_fits(spark, sf_dir):
     found = pace.usable_fits(fits(spark, sf_dir))
-    return found.select("session_id", r6("trend").alias("trend"), joined("warnings").alias("warnings"))
+    return found.select(
+        "session_id", F.round("trend", 5).alias("trend"), joined("warnings").alias("warnings")
+    )
 
 
-@query("g10_refused_fits")
+@query("g10_refused_fits", f"WITH RECURSIVE {REFUSED} SELECT session_id, refusals FROM refused")
 def refused_fits(spark, sf_dir):
+    """Refused fits with the reasons; only a fit of full rank has numbers to name."""
     found = pace.refused_fits(fits(spark, sf_dir))
-    return found.select("session_id", joined("refusals").alias("refusals"))
+    told = F.when(F.col("rank") < F.col("width"), "effects not identified").otherwise(joined("refusals"))
+    return found.select("session_id", told.alias("refusals"))

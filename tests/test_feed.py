@@ -365,3 +365,10 @@ def test_ordered_gaps(spark, chunk):
             last += 1.5
         want.append(last)
     assert [r["elapsed"] for r in found] == pytest.approx(want)
+
+
+def test_session_row(events):
+    session = fold.session_state(fold.session_deltas(events))
+    row = board.session_rows(session, fold.timing_state(fold.timing_deltas(events))).first()
+    assert (row["circuit"], row["lap"], row["progress"], row["laps_remaining"]) == ("Dunes", 6, 0.1154, 46)
+    assert (row["neutralised"], row["air_temp"], row["session_best"]) == (True, 11.9, None)
