@@ -60,14 +60,18 @@ def find_copies(
         "copies-collided",
     )
     told = rows.join(collided, "h", "left").withColumn("variant", F.expr("if(split, text_sha256, '')"))
-    order = F.struct("doc_id", "row") if keep == "largest" else F.struct(F.isnull("doc_id"), "doc_id", "row")
-    best = F.max(order) if keep == "largest" else F.min(order)
-    groups = told.groupBy("h", "variant").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    if keep == "largest":
+        order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+        best = [F.max("doc_id").alias("keep_id"), F.max_by("row", order).alias("best")]
+    else:
+        order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        best = [F.min("doc_id").alias("keep_id"), F.min_by("row", order).alias("best")]
+    groups = told.groupBy("h", "variant").agg(*best, F.count(F.lit(1)).alias("group_size"))
     return told.join(groups, ["h", "variant"]).select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        "keep_id",
         "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
+        (F.col("row") == F.col("best")).alias("kept"),
         "text_sha256",
         "content",
     )
