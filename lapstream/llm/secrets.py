@@ -22,12 +22,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapstream.session import cut_lineage
+
 KINDS = ("assign", "access", "hex")
 FIT_VALUES = 500
 FIT_WORDS = 5000
+#: Longer values are scored, but take no part in the fit.
+FIT_CHARS = 4096
 ALPHA = 0.05
 UNSEEN = 1e-4
 REACHED_BY = 0.02
@@ -266,18 +270,14 @@ def outside(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
 def learn(docs: DataFrame, fit_values: int = FIT_VALUES, fit_words: int = FIT_WORDS) -> Formats:
     """Automata from a bounded sample of the distinct values of all documents."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = labelled(texts)
-    # The draw keeps those with the smallest hashes; each kind is cut off by the limit.
+    found = cut_lineage(labelled(texts).filter(F.length("value") <= FIT_CHARS), "secrets-values")
+    # Each draw keeps the values with the smallest hashes, in every task first.
     draw = [F.xxhash64("value"), F.col("value")]
-    values: dict[str, list[str]] = {}
-    place = F.row_number().over(Window.partitionBy("kind", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(64))).orderBy(*draw))
-    most = max(fit_values, fit_words)
-    thin = found.withColumn("place", place).filter(F.col("place") <= most).drop("place")
-    best = F.row_number().over(Window.partitionBy("kind").orderBy(*draw))
-    limit = F.when(F.col("kind") == "word", fit_words).otherwise(fit_values)
-    for row in thin.withColumn("place", best).filter(F.col("place") <= limit).select("kind", "value").collect():
-        values.setdefault(row["kind"], []).append(row["value"])
-    return formats_of(values, sorted(values.get("word", [])))
+    values = {
+        kind: [r["value"] for r in found.filter(F.col("kind") == kind).orderBy(*draw).limit(most).collect()]
+        for kind, most in [*((k, fit_values) for k in KINDS), ("word", fit_words)]
+    }
+    return formats_of(values, sorted(values["word"]))
 
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:
