@@ -64,13 +64,12 @@ def test_skill_text_of_minus_infinity(spark):
 DRAWS = "session_id string, option_id long, draw long, driver string, elapsed double, retired boolean, retired_on long, total_laps long"
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_retired_cars_classify_behind_finishers(spark, small):
+def test_retired_cars_classify_behind_finishers(spark):
     rows = [
         ("s", 0, 0, "a", 100.0, False, 0, 50), ("s", 0, 0, "b", 99.0, False, 0, 50),
         ("s", 0, 0, "c", 1.0, True, 10, 50), ("s", 0, 0, "d", 2.0, True, 40, 50),
     ]
-    found = outcomes.classify_draws(spark.createDataFrame(rows, DRAWS), small)
+    found = outcomes.classify_draws(spark.createDataFrame(rows, DRAWS))
     assert {r["driver"]: r["classified"] for r in found.collect()} == {"b": 1, "a": 2, "d": 3, "c": 4}
 
 
