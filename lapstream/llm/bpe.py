@@ -175,6 +175,7 @@ def blocks(docs: DataFrame, model: str, parts: int, block_words: int = BLOCK_WOR
                     yield out()
         if ids:
             yield out()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run,
@@ -252,6 +253,16 @@ def gather(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[place], ends
 
 
+def portions(counts: np.ndarray, words: int = 1 << 17) -> Iterator[tuple[int, int, int]]:
+    """Documents [low, high) of a block by about so many words, and where their words start."""
+    ends = np.cumsum(counts)
+    low, at = 0, 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, at + words, side="right")))
+        yield low, high, at
+        low, at = high, int(ends[high - 1])
+
+
 def encode_decode(
     docs: DataFrame, path: str, block_words: int = BLOCK_WORDS, parts: int | None = None
 ) -> DataFrame:
@@ -284,19 +295,27 @@ def encode_decode(
                 by_part = np.empty(len(part), dtype=np.int64)
                 by_part[order] = np.arange(len(part))
                 lengths = np.concatenate(sizes).astype(np.int64)
-                tokens, ends = gather(np.concatenate(ids), lengths, by_part[positions])
-                octets, octet_ends = gather(pieces, piece_lengths, tokens)
-                last = np.cumsum(np.array(batch.column("counts")[row].values, dtype=np.int64))
-                cut = np.concatenate([[0], ends])[np.concatenate([[0], last])]
-                octet_cut = np.concatenate([[0], octet_ends])[cut]
-                raw, text = tokens.astype("<u4").tobytes(), octets.tobytes()
-                columns = [
-                    batch.column("ids")[row].values,
-                    pa.array(np.diff(cut)),
-                    pa.array([raw[4 * a : 4 * b] for a, b in pairwise(cut.tolist())], pa.binary()),
-                    pa.array([text[a:b].decode("utf-8", "replace") for a, b in pairwise(octet_cut.tolist())], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+                every, where = np.concatenate(ids), by_part[positions]
+                doc_ids = batch.column("ids")[row].values
+                counts = np.array(batch.column("counts")[row].values, dtype=np.int64)
+                for low, high, at in portions(counts):
+                    part_counts = counts[low:high]
+                    words = where[at : at + int(part_counts.sum())]
+                    tokens, ends = gather(every, lengths, words)
+                    octets, octet_ends = gather(pieces, piece_lengths, tokens)
+                    last = np.cumsum(part_counts)
+                    cut = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+                    octet_cut = np.concatenate([[0], octet_ends])[cut]
+                    raw, text = tokens.astype("<u4").tobytes(), octets.tobytes()
+                    decoded = [text[a:b].decode("utf-8", "replace") for a, b in pairwise(octet_cut.tolist())]
+                    columns = [
+                        doc_ids.slice(low, high - low),
+                        pa.array(np.diff(cut)),
+                        pa.array([raw[4 * a : 4 * b] for a, b in pairwise(cut.tolist())], pa.binary()),
+                        pa.array(decoded, pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     # A left join, and all columns to the end: with a filter or fewer columns on this side,
     # the blocks would be made and shuffled a second time.

@@ -32,7 +32,7 @@ SEED = 20240229
 MAX_LANGUAGES = 8192
 PIECE_CHARS = 1 << 20
 PIECE_DOCS = 256
-SEQUENCES_AT_ONCE = 8192
+SEQUENCES_AT_ONCE = 4096
 
 _letters: dict[int, np.ndarray] = {}
 
