@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapstream.llm import bpe, exact, langid, mixing, simhash
+from lapstream.llm import bpe, exact, langid, mixing, near, simhash
 from lapstream.llm.common import apply_verdict
 from lapstream.llm.queries import TOKENIZER, digests
 from lapstream.session import cut_lineage, scratch_path
@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    verdict = cut_lineage(simhash.verdict_of(simhash.near_copies(docs)), "pipeline-near")
+    """One document of each group linked by five-word likeness of 0.8 or more."""
+    verdict = cut_lineage(simhash.verdict_of(near.near_copies(docs)), "pipeline-near")
     return apply_verdict(docs, verdict)
 
 

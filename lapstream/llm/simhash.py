@@ -182,22 +182,25 @@ def node_levels(found: DataFrame, fan: int = FAN, top: int = TOP) -> list[DataFr
     return levels
 
 
-def may_link(radius: int) -> Column:
-    """Whether two groups (mask, value and mask_b, value_b) can hold a linked pair."""
+def may_link(radius: int, widths: list[int] | None = None) -> Column:
+    """Whether two groups (mask, value and mask_b, value_b) can hold a linked pair. The
+    leading bits of each side are its block, or ``widths`` bits."""
     differ = (
         F.col("value").bitwiseXOR(F.col("value_b")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask_b"))
     )
     leading = F.lit(None)
-    for side, (_, width) in enumerate(blocks(radius)):
+    for side, width in enumerate(widths or [width for _, width in blocks(radius)]):
         leading = F.when(F.col("side") == side, F.shiftrightunsigned(differ, BITS - width)).otherwise(leading)
     return (F.bit_count(differ) <= radius) & (leading == 0)
 
 
-def leaf_pairs(levels: list[DataFrame], radius: int, fan: int = FAN) -> DataFrame:
+def leaf_pairs(
+    levels: list[DataFrame], radius: int, fan: int = FAN, widths: list[int] | None = None
+) -> DataFrame:
     """Pairs of leaves (side, node, node_b) that pass on every level."""
     top = levels[-1]
     other = top.select("side", *[F.col(c).alias(f"{c}_b") for c in ("node", "mask", "value")])
-    pairs = top.join(other, "side").filter((F.col("node") <= F.col("node_b")) & may_link(radius))
+    pairs = top.join(other, "side").filter((F.col("node") <= F.col("node_b")) & may_link(radius, widths))
     for below in reversed(levels[:-1]):
         child = below.withColumn("parent", F.expr(f"node div {fan}"))
         first = child.select("side", F.col("parent").alias("up"), "node", "mask", "value")
@@ -207,10 +210,10 @@ def leaf_pairs(levels: list[DataFrame], radius: int, fan: int = FAN) -> DataFram
         pairs = (
             pairs.select("side", F.col("node").alias("up"), F.col("node_b").alias("up_b"), "mask_b", "value_b")
             .join(first, ["side", "up"])
-            .filter(may_link(radius))
+            .filter(may_link(radius, widths))
             .select("side", "node", "mask", "value", "up_b")
             .join(second, ["side", "up_b"])
-            .filter((F.col("node") <= F.col("node_b")) & may_link(radius))
+            .filter((F.col("node") <= F.col("node_b")) & may_link(radius, widths))
         )
         pairs = cut_lineage(
             pairs.select("side", "node", "mask", "value", "node_b", "mask_b", "value_b"), "simhash-pairs"
