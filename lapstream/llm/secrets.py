@@ -6,7 +6,8 @@ characters, is folded into a probabilistic automaton: states whose endings and n
 symbols agree within Hoeffding's bound, and all states below them, are merged. Every run
 of value characters in a text is then scored; it is a secret of inferred format if an
 automaton gives it at least the likelihood per symbol that nearly all labelled values
-reach, its length is one they have, and ordinary words explain it less well.
+reach, and ordinary words explain it less well. Its length counts by the chances of ending
+alone: formats of unseen lengths are judged like any other.
 
 Automata are fitted on at most ``FIT_VALUES`` distinct values per kind, chosen by hash
 from all documents. Scans cover whole texts. NULL counts as empty. Repeated rows come back
@@ -35,7 +36,7 @@ FIT_CHARS = 4096
 ALPHA = 0.05
 UNSEEN = 1e-4
 REACHED_BY = 0.02
-SHORTEST = 12
+SHORTEST = 6
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE
@@ -83,7 +84,6 @@ class Automaton:
     steps: list[dict[str, tuple[int, float]]]
     ends: list[float]
     least: float = 0.0
-    lengths: tuple[int, int] = (0, 0)
 
     def per_symbol(self, value: str) -> float:
         state, total = 0, 0.0
@@ -213,8 +213,6 @@ class Formats:
     def passes(self, value: str) -> bool:
         usual: float | None = None
         for automaton in self.automata:
-            if not automaton.lengths[0] <= len(value) <= automaton.lengths[1]:
-                continue
             score = automaton.per_symbol(value)
             if score >= automaton.least:
                 usual = self.words.per_symbol(value) if usual is None else usual
@@ -232,7 +230,6 @@ def formats_of(values: dict[str, list[str]], words: list[str]) -> Formats:
         automaton = infer(own)
         scores = sorted(automaton.per_symbol(v) for v in own)
         automaton.least = scores[int(REACHED_BY * len(scores))]
-        automaton.lengths = (max(SHORTEST, min(map(len, own))), max(map(len, own)))
         automata.append(automaton)
     return Formats(automata, ordinary(words))
 

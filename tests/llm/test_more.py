@@ -160,6 +160,16 @@ def test_inferred_formats(make):
     assert all(found[i].spans.startswith("assign:") for i in range(300))
 
 
+def test_formats_in_lengths_that_were_not_learned():
+    draw = random.Random(4)
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    words = ["extraordinary", "Internationalisation", "running", "document"]
+    formats = secrets.formats_of({"hex": [key(40) for _ in range(300)]}, words)
+    assert formats.passes("9492771832675922") and formats.passes(key(40))
+    assert not any(map(formats.passes, words))
+    assert list(secrets.outside("word run123 ab", [])) == [(5, 11)]
+
+
 def test_merging_folds_loops():
     draw = random.Random(5)
     values = ["a" + "".join(draw.choice("0g") for _ in range(draw.choice([8, 9, 10, 11, 12]))) for _ in range(400)]
