@@ -48,8 +48,8 @@ SHARD = 4096
 ISLANDS = 3
 POPULATION = 5
 ELITE = 2
-EPOCHS = 2
-GENERATIONS = 14
+EPOCHS = 3
+GENERATIONS = 60
 #: Share of bins that one crossover injects, and of bins that one mutation takes apart.
 INJECT, APART = 0.12, 0.03
 #: Share of the bins of a shard that the next round may pack anew.
