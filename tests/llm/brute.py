@@ -69,3 +69,12 @@ def lines_kept(docs, threshold):
         for line in set((text or "").split("\n")):
             sites[line].add(source)
     return sites
+
+
+def likeness(a: str | None, b: str | None) -> float:
+    """Jaccard likeness of the five-word shingles of two texts with a word."""
+    sets = []
+    for text in (a, b):
+        words = WORDS.findall((text or "").translate(LOWER))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
