@@ -11,7 +11,8 @@ rows. What is sent to the tasks is one vector per language, and the number of la
 is checked against ``MAX_LANGUAGES``.
 
 A text that is NULL or has no letter gets ``und`` and score 0, as does every text when
-there is nothing to learn from. Ties go to the first language by code point. A NULL id
+there is nothing to learn from. As a filter (``accepted``) it also rejects texts that are not
+near any language, by a floor for the cosine learned from the training rows. Ties go to the first language by code point. A NULL id
 counts as empty text for the split. Long texts are taken in pieces, whole.
 """
 
@@ -33,6 +34,12 @@ MAX_LANGUAGES = 8192
 PIECE_CHARS = 1 << 20
 PIECE_DOCS = 256
 SEQUENCES_AT_ONCE = 4096
+#: A text is rejected below this share of this quantile of the training cosines.
+QUANTILE, FLOOR_SHARE = 0.001, 0.5
+FLOOR_ROWS = 500
+#: Standard deviation of the cosine of unrelated vectors: no nearer than this is not near.
+CHANCE = DIMENSIONS**-0.5
+POWERS = 48
 
 _letters: dict[int, np.ndarray] = {}
 
@@ -100,8 +107,10 @@ def sequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, inverse, np.where(three == 0, 32, known[three])
 
 
-def bundle(owner: np.ndarray, owners: int, inverse: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """Sum of the sequence vectors of each owner."""
+def bundle(
+    owner: np.ndarray, owners: int, inverse: np.ndarray, three: np.ndarray, seen: np.ndarray | None = None
+) -> np.ndarray:
+    """Sum of the sequence vectors of each owner; ``seen`` gains its number of distinct sequences."""
     out = np.zeros((owners, DIMENSIONS), dtype=np.float32)
     for low in range(0, len(three), SEQUENCES_AT_ONCE):
         part = three[low : low + SEQUENCES_AT_ONCE]
@@ -109,6 +118,8 @@ def bundle(owner: np.ndarray, owners: int, inverse: np.ndarray, three: np.ndarra
         counts = np.bincount(
             owner[near] * len(part) + inverse[near] - low, minlength=owners * len(part)
         ).reshape(owners, len(part))
+        if seen is not None:
+            seen += (counts > 0).sum(axis=1)
         codes, at = np.unique(part, return_inverse=True)
         at = at.reshape(part.shape)
         vectors = np.stack([letter_vector(int(c)) for c in codes])
@@ -156,11 +167,14 @@ def learn(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     return [r["lang"] for r in rows], (profile / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def classify(texts: list[str | None], langs: list[str], profile: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and cosine of each text."""
+def classify(
+    texts: list[str | None], langs: list[str], profile: np.ndarray
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and number of distinct sequences (of its richest piece) of each text."""
     vectors: dict[int, np.ndarray] = {}
     best = ["und"] * len(texts)
     score = np.zeros(len(texts))
+    size = np.zeros(len(texts), dtype=np.int64)
 
     def settle(rows: list[int], found: np.ndarray) -> None:
         norm = np.linalg.norm(found, axis=1)
@@ -172,12 +186,14 @@ def classify(texts: list[str | None], langs: list[str], profile: np.ndarray) ->
                 score[row] = min(1.0, max(0.0, float(cosine[place, top[place]])))
 
     if not langs:
-        return best, score
+        return best, score, size
     for rows, parts in pieces(texts):
         text, inverse, three = sequences(parts)
         if not len(text):
             continue
-        found = bundle(text, len(parts), inverse, three)
+        seen = np.zeros(len(parts), dtype=np.int64)
+        found = bundle(text, len(parts), inverse, three, seen)
+        np.maximum.at(size, np.array(rows), seen)
         # A text that may be in several pieces is judged once all of them are added up.
         several = {r for r in rows if len(texts[r] or "") >= PIECE_CHARS // 4}
         for place, row in enumerate(rows):
@@ -188,7 +204,7 @@ def classify(texts: list[str | None], langs: list[str], profile: np.ndarray) ->
             settle([rows[p] for p in single], found[single])
     if vectors:
         settle(list(vectors), np.stack(list(vectors.values())))
-    return best, score
+    return best, score, size
 
 
 def is_held_out(buckets: int = 4, held: int = 2):
@@ -200,7 +216,7 @@ def predict(docs: DataFrame, langs: list[str], profile: np.ndarray) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = classify(batch.column("text").to_pylist(), langs, profile)
+            best, score, _ = classify(batch.column("text").to_pylist(), langs, profile)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -214,14 +230,56 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *learn(docs.filter(~is_held_out())))
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Whole rows whose language is known, at a cosine of ``least`` or more."""
-    langs, profile = learn(docs.filter(~is_held_out()))
+def floors(
+    docs: DataFrame,
+    langs: list[str],
+    profile: np.ndarray,
+    quantile: float = QUANTILE,
+    share: float = FLOOR_SHARE,
+    rows: int = FLOOR_ROWS,
+) -> np.ndarray:
+    """Least cosine of an accepted text by the power of two of its distinct sequences.
+
+    It is ``share`` of a low quantile over all training rows with as many distinct sequences
+    whose language is found. A size with fewer than ``rows`` of them takes the floor of the next
+    smaller size, and 0 where there is none: too little is known to reject.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score, size = classify(batch.column("text").to_pylist(), langs, profile)
+            own = pa.array([a == b for a, b in zip(best, batch.column("lang").to_pylist(), strict=True)], pa.bool_())
+            columns = [pa.array(power(size)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in columns], ["power", "score"])
+
+    known = docs.filter("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
+    low = F.percentile_approx("score", F.lit(quantile), F.lit(10_000))
+    found = known.mapInArrow(run, "power int, score double").groupBy("power").agg(low.alias("low"), F.count(F.lit(1)).alias("n"))
+    # A row per power of two at most.
+    lows = {r["power"]: share * r["low"] for r in found.collect() if r["n"] >= rows}
+    least, last = np.zeros(POWERS), 0.0
+    for at in range(POWERS):
+        least[at] = last = lows.get(at, last)
+    return least
+
+
+def power(size: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(size, 1)).astype(np.int32), POWERS - 1)
+
+
+def accepted(
+    docs: DataFrame, quantile: float = QUANTILE, share: float = FLOOR_SHARE, rows: int = FLOOR_ROWS
+) -> DataFrame:
+    """Whole rows in a language that was learned: those that have a letter and are as near to
+    their language as ``floors`` asks of texts of their size."""
+    training = docs.filter(~is_held_out())
+    langs, profile = learn(training)
+    least = floors(training, langs, profile, quantile, share, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = classify(batch.column("text").to_pylist(), langs, profile)
-            keep = [b != "und" and s >= least for b, s in zip(best, score, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            best, score, size = classify(batch.column("text").to_pylist(), langs, profile)
+            keep = (np.array(best, dtype=object) != "und") & (score >= np.maximum(least[power(size)], CHANCE))
+            yield batch.filter(pa.array(keep.astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -119,6 +119,22 @@ def test_language_of_odd_rows(make, monkeypatch):
     assert np.allclose(whole, one)
 
 
+def test_languages_not_learned_are_rejected(spark, make):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    strange = [
+        (20001, "Қазақстан Республикасы тәуелсіз мемлекет болып табылады және оның халқы көп"),
+        (20002, "zzxq qzxj xqzz kkjq"),
+        (20003, "zzxq qzxj xqzz kkjq " * 300),
+        (20004, "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα " * 9),
+        (20005, "日本語の文章です"),
+    ]
+    rows = documents.select("doc_id", "text", "lang", "source", "n_chars").unionByName(make(strange))
+    kept = {r.doc_id for r in langid.accepted(rows, rows=100).select("doc_id").collect()}
+    lettered = {r.doc_id for r in documents.collect() if any(c.isalpha() for c in r.text or "")}
+    assert not kept & {i for i, _ in strange} and kept <= lettered
+    assert len(lettered - kept) <= 2
+
+
 # SimHash ----------------------------------------------------------------------
 
 
