@@ -112,7 +112,8 @@ def test_language_of_odd_rows(make, monkeypatch):
     assert langid.identify(empty(make)).count() == 0
     unlabelled = langid.identify(odd(make)).collect()
     assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
-    assert {r.doc_id for r in langid.accepted(docs).collect()} == {1, 2, None, 6, 7, 10}
+    # Row 10 has no sequence in common with the texts that were learned.
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {1, 2, None, 6, 7}
     whole, one = langid.classify(["ab cd " * 99], ["en"], np.ones((1, langid.DIMENSIONS), np.float32) / 32)[1], None
     monkeypatch.setattr(langid, "PIECE_CHARS", 60)
     one = langid.classify(["ab cd " * 99], ["en"], np.ones((1, langid.DIMENSIONS), np.float32) / 32)[1]
