@@ -2,17 +2,26 @@
 
 A message changes parts of a tree: objects merge key by key, an object keyed by
 digits patches the elements of a list, anything else replaces what was there and
-all below it. Messages are opened one level at a time. On each level the writes
-to a path are scanned in order to see which of them replaced it; the time of the
-last replacement above is handed down to the children. The loop runs over the
-depth of the payloads, never over rows.
+all below it. A payload is opened once, into a row for every path it touches, and
+two scans over all paths together say what each write left there and which writes
+replaced what was there before.
+
+Whether a write replaces follows from the write before it on the same path, even
+if an ancestor was replaced in between: such a path has nothing below it that could
+be lost twice. Only two kinds of write must know of the last replacement above
+them: a digit-keyed object whose path last held a list, and an empty container that
+would merge. They alone look it up, by a running maximum over the replacements of
+their ancestors; where the answer turns out to matter the scan is repeated, at most
+once per level of the tree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapstream.operators.scan import CHUNK_SPAN, running
@@ -22,79 +31,102 @@ KEYS = ("session_id", "topic", "path")
 OBJECT, INDEXED, LIST, SCALAR = "object", "indexed", "list", "scalar"
 
 
-def _kind(value: Column) -> Column:
-    """Object, object keyed by digits only, list, or scalar."""
-    spelled = F.to_json(value)
-    keys = F.json_object_keys(spelled)
-    digits = (F.size(keys) > 0) & F.forall(keys, lambda k: k.rlike(r"^\d+$"))
-    return (
-        F.when(spelled.startswith("["), LIST)
-        .when(~spelled.startswith("{"), SCALAR)
-        .when(digits, INDEXED)
-        .otherwise(OBJECT)
+class _Number(str):
+    """A number as it is written."""
+
+
+def _load(body: str):
+    return json.loads(body, parse_int=_Number, parse_float=_Number)
+
+
+def opened(body: str) -> list[tuple[list[str], str, bool, str | None]]:
+    """Every path a payload touches, with its kind, whether it is empty, and its JSON where it is a
+    leaf. Depth is bounded by the payload, not by the stack."""
+    found, todo = [], [([], _load(body))]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            kind = INDEXED if value and all(k.isascii() and k.isdigit() for k in value) else OBJECT
+            found.append((path, kind, not value, None if value else "{}"))
+            todo += [([*path, k], v) for k, v in value.items()]
+        elif isinstance(value, list):
+            found.append((path, LIST, not value, None if value else "[]"))
+            todo += [([*path, str(i)], v) for i, v in enumerate(value)]
+        else:
+            text = str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+            found.append((path, SCALAR, False, text))
+    return found
+
+
+def _writes(events: DataFrame) -> DataFrame:
+    """session_id, topic, seq, path, kind, empty and value of every path of every message."""
+    kind = dict(events.dtypes)["session_id"]
+    schema = f"session_id {kind}, topic string, seq bigint, path array<string>, kind string, empty boolean, value string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, where = [], []
+            for place, body in enumerate(batch.column("body").to_pylist()):
+                touched = opened(body)
+                if touched[0][1] == SCALAR:
+                    continue
+                rows += touched
+                where += [place] * len(touched)
+            at = pa.array(where, pa.int64())
+            paths, kinds, empty, values = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(at) for c in ("session_id", "topic", "seq")),
+                    pa.array(paths, pa.list_(pa.string())),
+                    pa.array(kinds, pa.string()),
+                    pa.array(empty, pa.bool_()),
+                    pa.array(values, pa.string()),
+                ],
+                ["session_id", "topic", "seq", "path", "kind", "empty", "value"],
+            )
+
+    bodies = events.select("session_id", "topic", F.col("seq").cast("bigint").alias("seq"), F.to_json("payload").alias("body"))
+    return bodies.where("body is not null").mapInArrow(run, schema)
+
+
+def _judged(seen: DataFrame, span: int) -> DataFrame:
+    """What each write left on its path (shape), and what it did to what was there."""
+    patches = (F.col("kind") == INDEXED) & (F.col("fixed.kind") == LIST) & (F.col("fixed.seq") >= F.col("epoch"))
+    left = F.when(F.coalesce(patches, F.lit(False)), LIST).when(F.col("kind") == INDEXED, OBJECT)
+    shaped = seen.withColumn("shape", F.coalesce(left, F.col("kind")))
+    before = running(
+        cut_lineage(shaped, "tree-shapes"), KEYS, "seq", lags={"was": F.col("shape"), "was_seq": F.col("seq")}, span=span
     )
+    merges = ((F.col("was") == OBJECT) & F.col("kind").isin(OBJECT, INDEXED)) | (
+        (F.col("was") == LIST) & (F.col("kind") == INDEXED)
+    )
+    alive = F.coalesce(F.col("was_seq") >= F.col("epoch"), F.lit(False))
+    replaced = F.col("was").isNotNull() & ~merges
+    judged = before.withColumns({"replaced": replaced, "idle": alive & merges & F.col("empty")})
+    return cut_lineage(judged, "tree-judged")
 
 
-def _is_empty(value: Column) -> Column:
-    return F.to_json(value).isin("{}", "[]")
-
+def _ancestors(path: str = "path"):
+    depths = F.sequence(F.lit(0), F.size(path) - 1)
+    return F.when(F.size(path) > 0, F.transform(depths, lambda n: F.slice(path, F.lit(1), n)))
 
-def _level(rows: DataFrame, span: int) -> DataFrame:
-    """Work out, for each write to a path, what it left there and what it replaced.
 
-    ``epoch`` is the last replacement above the path; anything older is gone.
-    """
-    kinds = rows.withColumn("kind", _kind(F.col("value")))
-    # An indexed object over a list leaves a list; otherwise writes speak for themselves.
-    fixed = F.when(F.col("kind") != INDEXED, F.struct("seq", "kind"))
-    seen = running(kinds, KEYS, "seq", lasts={"_fixed": fixed}, span=span)
-    patches = (
-        (F.col("kind") == INDEXED)
-        & (F.col("_fixed.kind") == LIST)
-        & (F.col("_fixed.seq") >= F.col("epoch"))
-    )
-    left = F.when(F.coalesce(patches, F.lit(False)), LIST).when(
-        F.col("kind") == INDEXED, OBJECT
-    )
-    shaped = seen.withColumn("shape", F.coalesce(left, F.col("kind"))).drop("_fixed")
-    shaped = cut_lineage(shaped, "shapes")
-    before = running(
-        shaped,
-        KEYS,
-        "seq",
-        lags={"_was": F.col("shape"), "_was_seq": F.col("seq")},
-        span=span,
+def _epochs(judged: DataFrame, span: int) -> DataFrame:
+    """Last replacement above each write that must know it, up to its own message."""
+    asks = ((F.col("kind") == INDEXED) & (F.col("fixed.kind") == LIST)) | (F.col("empty") & F.col("was").isNotNull())
+    asked = judged.where(asks).select(*KEYS, "seq", F.explode(_ancestors()).alias("above"))
+    marks = judged.where("replaced").select(
+        "session_id", "topic", F.col("path").alias("above"), "seq", F.col("seq").alias("reset")
     )
-    alive = F.coalesce(F.col("_was_seq") >= F.col("epoch"), F.lit(False))
-    merges = ((F.col("_was") == OBJECT) & F.col("kind").isin(OBJECT, INDEXED)) | (
-        (F.col("_was") == LIST) & (F.col("kind") == INDEXED)
-    )
-    empty = _is_empty(F.col("value"))
-    judged = before.withColumns(
-        {"replaced": alive & ~merges, "idle": alive & merges & empty, "empty": empty}
-    ).drop("_was", "_was_seq")
-    judged = cut_lineage(judged, "judged")
-    own = F.when(F.col("replaced"), F.col("seq"))
-    ended = running(judged, KEYS, "seq", maxima={"_own": own}, span=span)
-    return ended.withColumn("below", F.greatest("epoch", "_own")).drop("_own")
-
-
-def _children(level: DataFrame) -> DataFrame:
-    """One row per member of every container written on a level."""
-    held = level.where(F.col("kind") != SCALAR)
-    opened = held.lateralJoin(
-        held.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "member")
-    )
-    name = F.coalesce("key", F.col("pos").cast("string"))
-    return opened.select(
-        "session_id",
-        "topic",
-        "seq",
-        F.concat("path", F.array(name)).alias("path"),
-        F.col("member").alias("value"),
-        F.col("below").alias("epoch"),
-        (F.col("shape") == LIST).alias("in_list"),
+    # A replacement comes before the questions of the same message.
+    both = asked.select("session_id", "topic", "above", (F.col("seq") * 2 + 1).alias("tick"), F.lit(None).cast("bigint").alias("reset"))
+    both = both.distinct().unionByName(
+        marks.select("session_id", "topic", "above", (F.col("seq") * 2).alias("tick"), "reset")
     )
+    both = cut_lineage(both, "tree-marks")
+    known = running(both, ("session_id", "topic", "above"), "tick", maxima={"last": F.col("reset")}, span=2 * span)
+    answers = known.where("reset is null").select("session_id", "topic", "above", F.expr("tick div 2").alias("seq"), "last")
+    return asked.join(answers, ["session_id", "topic", "above", "seq"]).groupBy(*KEYS, "seq").agg(F.max("last").alias("known"))
 
 
 def fold_tree(events: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
@@ -103,52 +135,55 @@ def fold_tree(events: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     A leaf is a scalar or an empty container; ``value`` is its JSON. Payloads that
     are neither object nor list are ignored.
     """
-    rows = events.select(
-        "session_id",
-        "topic",
-        "seq",
-        F.array().cast("array<string>").alias("path"),
-        F.col("payload").alias("value"),
-        F.lit(-1).cast("bigint").alias("epoch"),
-        F.lit(False).alias("in_list"),
-    ).where(_kind(F.col("value")) != SCALAR)
-    levels = []
+    writes = cut_lineage(_writes(events), "tree-writes")
+    # An indexed object over a list leaves a list; otherwise writes speak for themselves.
+    fixed = F.when(F.col("kind") != INDEXED, F.struct("seq", "kind"))
+    seen = cut_lineage(running(writes, KEYS, "seq", lasts={"fixed": fixed}, span=span), "tree-seen")
+    judged = _judged(seen.withColumn("epoch", F.lit(-1).cast("bigint")), span)
     while True:
-        # Each level is written once and read by the next level and by the end.
-        level = cut_lineage(_level(rows, span), "level")
-        levels.append(level)
-        if level.where((F.col("kind") != SCALAR) & ~F.col("empty")).isEmpty():
-            break
-        rows = _children(level)
-    return _alive(reduce(DataFrame.unionByName, levels))
+        known = cut_lineage(_epochs(judged, span).where("known is not null"), "tree-epochs")
+        asked = judged.join(known, [*KEYS, "seq"])
+        # It matters where the list or the container before is older than the replacement above.
+        matters = (F.col("known") > F.col("epoch")) & (
+            ((F.col("kind") == INDEXED) & (F.col("fixed.seq") < F.col("known")) & (F.col("fixed.seq") >= F.col("epoch")))
+            | (F.col("idle") & (F.col("was_seq") < F.col("known")))
+        )
+        if asked.where(matters).isEmpty():
+            return _alive(judged)
+        again = seen.join(known, [*KEYS, "seq"], "left")
+        judged = _judged(again.withColumn("epoch", F.coalesce("known", F.lit(-1).cast("bigint"))).drop("known"), span)
 
 
 def _alive(writes: DataFrame) -> DataFrame:
     """Last write per path, where it is a leaf no ancestor was replaced after."""
-    entry = F.struct("kind", "empty", "in_list", F.to_json("value").alias("value"))
+    entry = F.struct("kind", "empty", "value")
     last = writes.where(~F.col("idle")).groupBy(*KEYS).agg(
         F.max_by(entry, "seq").alias("e"), F.max("seq").alias("seq")
     )
-    leaves = last.where((F.col("e.kind") == SCALAR) | F.col("e.empty")).select(
-        *KEYS, "seq", "e.kind", "e.value", "e.in_list"
-    )
+    leaves = last.where((F.col("e.kind") == SCALAR) | F.col("e.empty")).select(*KEYS, "seq", "e.kind", "e.value")
     resets = (
         writes.where("replaced")
         .groupBy("session_id", "topic", F.col("path").alias("above"))
         .agg(F.max("seq").alias("reset_seq"))
     )
-    depths = F.sequence(F.lit(0), F.size("path") - 1)
-    above = F.when(
-        F.size("path") > 0, F.transform(depths, lambda n: F.slice("path", F.lit(1), n))
-    )
     lost = (
-        leaves.withColumn("above", F.explode(above))
+        leaves.withColumn("above", F.explode(_ancestors()))
         .join(resets, ["session_id", "topic", "above"])
         .where(F.col("reset_seq") > F.col("seq"))
         .select(*KEYS)
         .distinct()
     )
-    return leaves.join(lost, list(KEYS), "left_anti")
+    # What the container above was, after the same message.
+    above = writes.where(F.col("shape") == LIST).select(
+        "session_id", "topic", F.col("path").alias("above"), "seq", F.lit(True).alias("list_above")
+    )
+    kept = leaves.join(lost, list(KEYS), "left_anti").withColumn(
+        "above", F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
+    )
+    return kept.join(above, ["session_id", "topic", "above", "seq"], "left").select(
+        *KEYS, "seq", "kind", F.to_json(F.parse_json("value")).alias("value"),
+        F.coalesce("list_above", F.lit(False)).alias("in_list"),
+    )
 
 
 def list_arrays(leaves: DataFrame) -> DataFrame:

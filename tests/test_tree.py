@@ -33,7 +33,7 @@ def leaves(node, path=(), in_list=False):
     return {path: node}
 
 
-def folded(spark, messages, span=None):
+def folded(spark, messages, span=tree.CHUNK_SPAN):
     rows = [("s", "T", i, json.dumps(m)) for i, m in enumerate(messages)]
     events = spark.createDataFrame(rows, "session_id string, topic string, seq long, j string")
     events = events.withColumn("payload", F.parse_json("j"))
@@ -85,9 +85,9 @@ def tangle(depth=0):
     return {k: tangle(depth + 1) for k in random.sample(keys, random.randint(0, 2))}
 
 
-@pytest.mark.parametrize("span", [None, 4])
+@pytest.mark.parametrize("span", [tree.CHUNK_SPAN, 4])
 def test_random_messages(spark, span):
-    random.seed(5 if span else 8)
+    random.seed(5 if span == 4 else 8)
     for _ in range(3):
         messages = [tangle() for _ in range(14)]
         messages = [m if isinstance(m, dict | list) else {"a": m} for m in messages]
@@ -98,5 +98,5 @@ def test_random_messages(spark, span):
 def test_lists_are_rebuilt_with_gaps(spark):
     rows = [("s", "T", 0, '{"s":[1]}'), ("s", "T", 1, '{"s":{"3":4}}')]
     events = spark.createDataFrame(rows, "session_id string, topic string, seq long, j string")
-    found = tree.fold_tree(events.withColumn("payload", F.parse_json("j")), None)
+    found = tree.fold_tree(events.withColumn("payload", F.parse_json("j")))
     assert tree.list_arrays(found).first()["elements"] == ["1", None, None, "4"]
