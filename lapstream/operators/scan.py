@@ -28,6 +28,8 @@ NO_ORDER = -(1 << 62)
 
 def with_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN, name: str = "chunk") -> DataFrame:
     """Add the chunk number of each row: equal stretches of the order column."""
+    if not span:
+        raise ValueError("a scan needs a span to cut keys by")
     return df.withColumn(name, F.floor(F.col(order) / span))
 
 

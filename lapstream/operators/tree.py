@@ -89,6 +89,12 @@ def _writes(events: DataFrame) -> DataFrame:
     return bodies.where("body is not null").mapInArrow(run, schema)
 
 
+def payload_leaves(events: DataFrame) -> DataFrame:
+    """Leaves of every single payload: session_id, topic, seq, path, kind and value (JSON)."""
+    leaves = _writes(events).where(F.col("value").isNotNull())
+    return leaves.select(*KEYS, "seq", "kind", F.to_json(F.parse_json("value")).alias("value"))
+
+
 def _judged(seen: DataFrame, span: int) -> DataFrame:
     """What each write left on its path (shape), and what it did to what was there."""
     patches = (F.col("kind") == INDEXED) & (F.col("fixed.kind") == LIST) & (F.col("fixed.seq") >= F.col("epoch"))

@@ -48,30 +48,57 @@ def fold_latest(spark, sf_dir):
     return fold.last_states(deltas, fold.CAR, "seq", {f: F.col(f) for f in fields})
 
 
-STINT_FIELDS = """
-  SELECT session_id, seq, car, k // 34 AS stint, 'Compound' AS field,
-    CASE k % 4 WHEN 1 THEN '"SOFT"' WHEN 2 THEN '"hard"' WHEN 3 THEN '"TEST_UNKNOWN"' END AS value
-  FROM msg WHERE topic = 'TimingAppData'
-  UNION ALL SELECT session_id, seq, car, k // 34, 'New', CASE WHEN k % 2 = 0 THEN '"false"' END
-  FROM msg WHERE topic = 'TimingAppData'
-  UNION ALL SELECT session_id, seq, car, k // 34, 'TotalLaps',
-    CASE WHEN k % 5 <> 0 THEN CAST(k % 30 AS VARCHAR) END FROM msg WHERE topic = 'TimingAppData'"""
+def _text(value: str) -> str:
+    return f"'\"' || ({value}) || '\"'"
+
+
+_CAR = "'Lines/' || car || '/'"
+_STINT = f"{_CAR} || 'Stints/' || k // 34 || '/'"
+#: Every field that a message can carry: which messages, path, and JSON of the value (NULL where not sent).
+MESSAGE_FIELDS = (
+    ("etype = 'click'", f"{_CAR} || 'Position'", _text("CASE WHEN k % 5 <> 4 THEN CASE WHEN k < 3 THEN '' ELSE CAST(k % 20 + 1 AS VARCHAR) END END")),
+    ("etype = 'click'", f"{_CAR} || 'GapToLeader'", _text("CASE WHEN k % 4 = 1 THEN '' WHEN k % 4 <> 0 THEN '+' || CAST(value AS VARCHAR) END")),
+    ("etype = 'click'", f"{_CAR} || 'IntervalToPositionAhead/Value'", _text("CASE k % 3 WHEN 0 THEN '1L' WHEN 1 THEN '+' || CAST(value AS VARCHAR) END")),
+    ("etype = 'click'", f"{_CAR} || 'InPit'", "CASE k % 10 WHEN 7 THEN 'true' WHEN 8 THEN 'false' END"),
+    ("etype = 'click'", f"{_CAR} || 'PitOut'", "CASE k % 10 WHEN 8 THEN 'true' WHEN 9 THEN 'false' END"),
+    ("etype = 'click'", f"{_CAR} || 'Retired'", _text("CASE k WHEN 50 THEN 'true' WHEN 51 THEN 'false' END")),
+    ("etype = 'purchase'", f"{_CAR} || 'NumberOfLaps'", "CASE WHEN k % 3 <> 0 THEN CAST(k // 10 AS VARCHAR) END"),
+    ("etype = 'purchase'", f"{_CAR} || 'LastLapTime/Value'", _text("CASE WHEN k < 5 THEN '' ELSE '1:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(k AS VARCHAR), 3, '0') END")),
+    ("etype = 'purchase'", f"{_CAR} || 'Sectors/' || k % 4 || '/Value'", _text("CAST(20 + k % 10 AS VARCHAR) || '.5'")),
+    ("topic = 'TimingAppData'", f"{_STINT} || 'Compound'", _text("CASE k % 4 WHEN 1 THEN 'SOFT' WHEN 2 THEN 'hard' WHEN 3 THEN 'TEST_UNKNOWN' END")),
+    ("topic = 'TimingAppData'", f"{_STINT} || 'New'", _text("CASE WHEN k % 2 = 0 THEN 'false' END")),
+    ("topic = 'TimingAppData'", f"{_STINT} || 'TotalLaps'", "CASE WHEN k % 5 <> 0 THEN CAST(k % 30 AS VARCHAR) END"),
+    ("topic = 'TrackStatus'", "'Status'", _text("CAST(k % 9 AS VARCHAR)")),
+    ("topic = 'LapCount'", "'CurrentLap'", _text("CASE WHEN k < 8 THEN '' ELSE CAST(k AS VARCHAR) END")),
+    ("topic = 'LapCount'", "'TotalLaps'", "CASE WHEN k % 8 = 0 THEN '70' END"),
+    ("topic = 'WeatherData'", "'AirTemp'", _text("CAST(k % 10 - 1 AS VARCHAR)")),
+    ("topic = 'WeatherData'", "'TrackTemp'", _text("CASE WHEN k > 50 THEN 'x' ELSE CAST(k AS VARCHAR) END")),
+    ("topic = 'WeatherData'", "'Rainfall'", _text("CASE WHEN k % 8 = 1 THEN '1' WHEN k % 16 = 5 THEN '0' END")),
+    ("topic = 'DriverList'", "car || '/Tla'", _text("CASE WHEN k < 10 THEN '' ELSE 'T' || k END")),
+    ("topic = 'DriverList'", "car || '/FullName'", _text("CASE WHEN k % 8 <> 2 THEN 'Car ' || k END")),
+    ("topic = 'DriverList'", "car || '/BroadcastName'", _text("'B' || k")),
+    ("topic = 'DriverList'", "car || '/TeamName'", _text("'Team ' || k % 10")),
+    ("topic = 'SessionInfo'", "'Name'", _text("'Race ' || k")),
+    ("topic = 'SessionInfo'", "'Type'", _text("'Race'")),
+    ("topic = 'SessionInfo'", "'Meeting/Location'", _text("'L' || k")),
+    ("topic = 'SessionInfo'", "'Meeting/Circuit/ShortName'", _text("CASE WHEN k % 8 <> 3 THEN 'C' || k END")),
+)
+SENT = " UNION ALL ".join(
+    f"SELECT session_id, topic, seq, {path} AS path, {value} AS value FROM msg WHERE {which}"
+    for which, path, value in MESSAGE_FIELDS
+)
 
 
 @query(
     "c1_fold_tree",
-    f"""WITH {MSG}, f AS ({STINT_FIELDS})
-    SELECT session_id, 'Lines/' || car || '/Stints/' || stint || '/' || field AS path,
-      arg_max(value, seq) AS value FROM f WHERE value IS NOT NULL GROUP BY session_id, car, stint, field
-    UNION ALL SELECT session_id, 'Status', '"' || arg_max(k % 9, seq) || '"'
-      FROM msg WHERE topic = 'TrackStatus' GROUP BY session_id
-    """,
+    f"""WITH {MSG}, sent AS ({SENT})
+    SELECT session_id, topic, path, arg_max(value, seq) AS value FROM sent WHERE value IS NOT NULL
+    GROUP BY session_id, topic, path""",
 )
 def fold_tree(spark, sf_dir):
-    """Leaves of the tyre and status trees after every message."""
-    events = _events(spark, sf_dir).where(F.col("topic").isin("TimingAppData", "TrackStatus"))
-    leaves = tree.fold_tree(events).where("kind = 'scalar'")
-    return leaves.select("session_id", F.array_join("path", "/").alias("path"), "value")
+    """Leaves of the trees of all topics after every message."""
+    leaves = tree.fold_tree(_events(spark, sf_dir)).where("kind = 'scalar'")
+    return leaves.select("session_id", "topic", F.array_join("path", "/").alias("path"), "value")
 
 
 @query(

@@ -162,17 +162,17 @@ def expected_events(spark, sf_dir):
 @query(
     "h10_circuit_query",
     f"""WITH {RACE_LAPS}, spans AS (SELECT unnest([5, 10, 15]) AS span),
-      expect AS (SELECT session_id, sum(h) AS expected FROM hlap GROUP BY 1)
-    SELECT session_id, CAST(span AS BIGINT) AS span, round(any_value(expected), 6) AS expected,
+      expect AS (SELECT session_id, total_laps, sum(h) AS expected FROM hlap GROUP BY 1, 2),
+      ahead AS (SELECT session_id, total_laps, expected, span, greatest(1, total_laps // 2) + unnest(range(span)) AS lap
+        FROM expect CROSS JOIN spans)
+    SELECT a.session_id, CAST(span AS BIGINT) AS span, round(any_value(expected), 6) AS expected,
       round(1 - product(1 - h), 6) AS probability
-    FROM hlap JOIN expect USING (session_id) CROSS JOIN spans
-    WHERE total_laps // 2 + 14 <= total_laps AND lap BETWEEN greatest(1, total_laps // 2)
-      AND greatest(1, total_laps // 2) + span - 1
-    GROUP BY session_id, span""",
+    -- A window may go on past the flag, where every lap counts as the last.
+    FROM ahead a JOIN hlap ON hlap.session_id = a.session_id AND hlap.lap = least(a.lap, a.total_laps)
+    GROUP BY a.session_id, span""",
 )
 def circuit_query(spark, sf_dir):
-    total = F.col("total_laps")
-    races = standins.races(spark, sf_dir).where((total >= 2) & (F.floor(total / 2) + 14 <= total))
+    races = standins.races(spark, sf_dir).where(F.col("total_laps") >= 2)
     return hazard.mid_race_risk(races, safety_curves(spark, sf_dir)).select(
         "session_id", "span", r6("expected").alias("expected"), r6("probability").alias("probability")
     )

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapstream.functions import race, text
-from lapstream.operators import fold
+from lapstream.operators import fold, tree
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import FEED, LAPS, MSG, PHASE, RACES
+from lapstream.plans.queries_feed import SENT
 from lapstream.plans.queries_history import LISTS, _history, _listed
 from lapstream.plans.registry import query, r6
-from lapstream.session import scratch_path
+from lapstream.session import cut_lineage, scratch_path
 from lapstream.sources import frames, history, predictions, recordings
 
 
@@ -29,12 +30,19 @@ def _stamp(fraction="SSSSSS"):
     return F.concat(F.date_format("ts", f"yyyy-MM-dd'T'HH:mm:ss.{fraction}"), F.lit("7Z"))
 
 
+def _literal(body):
+    """JSON flags as Python writes them; texts that spell a flag stay."""
+    for json, python in (("true", "True"), ("false", "False")):
+        body = F.regexp_replace(body, rf"([:\[,]){json}(?=[,\]}}])", f"$1{python}")
+    return body
+
+
 def _lines(spark, sf_dir):
     """Recorded lines: Python literals, JSON for some, and junk for k = 99."""
     rows = standins.messages(spark, sf_dir)
     literal = F.concat(
         F.lit("['"), F.col("topic"), F.lit("', "),
-        F.replace(F.replace("payload_json", F.lit("true"), F.lit("True")), F.lit("false"), F.lit("False")),
+        _literal(F.col("payload_json")),
         F.lit(", '"), F.when(F.col("k") < 3, "").otherwise(_stamp()), F.lit("']"),
     )
     plain = F.concat(
@@ -78,10 +86,31 @@ def scan_recording(spark, sf_dir):
     )
 
 
-@query("a2_decode_lines", f"WITH {MSG} SELECT session_id, seq, topic FROM msg WHERE {READ}")
+@query(
+    "a2_decode_lines",
+    f"""WITH {MSG}, sent AS ({SENT})
+    SELECT m.session_id, m.seq, m.topic, CASE WHEN k >= 3 THEN epoch_us(ts) END AS micros,
+      coalesce(string_agg(path || '=' || sent.value, ';' ORDER BY path || '=' || sent.value), '') AS fields
+    FROM msg m LEFT JOIN sent ON sent.session_id = m.session_id AND sent.seq = m.seq AND sent.value IS NOT NULL
+    WHERE {READ} GROUP BY m.session_id, m.seq, m.topic, k, ts""",
+)
 def decode_lines(spark, sf_dir):
-    decoded = recordings.decode_lines(_lines(spark, sf_dir))
-    return recordings.readable(decoded).select("session_id", "seq", "topic")
+    """Lines with all they carry: topic, stamp, and every field of the payload."""
+    decoded = recordings.readable(recordings.decode_lines(_lines(spark, sf_dir)))
+    stamp = F.unix_micros(text.parse_timestamp(F.col("ts_raw")).cast("timestamp"))
+    return _with_fields(recordings.to_events(decoded)).join(
+        decoded.select("session_id", "seq", stamp.alias("micros")), ["session_id", "seq"]
+    )
+
+
+def _with_fields(events):
+    """session_id, seq, topic and the leaves of each payload as one text."""
+    leaves = tree.payload_leaves(events).where("kind = 'scalar'")
+    shown = F.concat(F.array_join("path", "/"), F.lit("="), "value")
+    fields = leaves.groupBy("session_id", "seq").agg(F.array_join(F.sort_array(F.collect_list(shown)), ";").alias("fields"))
+    return events.select("session_id", "seq", "topic").join(fields, ["session_id", "seq"], "left").select(
+        "session_id", "seq", "topic", F.coalesce("fields", F.lit("")).alias("fields")
+    )
 
 
 @query("a2_quarantine", f"WITH {MSG} SELECT session_id, seq FROM msg WHERE k = 99")
@@ -237,13 +266,21 @@ def _frames(spark, sf_dir):
 
 @query(
     "a10_decode_frames",
-    f"""WITH {MSG} SELECT session_id, seq AS frame, topic, k < 3 AS is_snapshot FROM msg
-      WHERE k < 98""",
+    f"""WITH {MSG}, sent AS ({SENT})
+    SELECT m.session_id, m.seq AS frame, m.topic, k < 3 AS is_snapshot,
+      CASE WHEN k >= 3 THEN epoch_us(ts) END AS micros,
+      coalesce(string_agg(path || '=' || sent.value, ';' ORDER BY path || '=' || sent.value), '') AS fields
+    FROM msg m LEFT JOIN sent ON sent.session_id = m.session_id AND sent.seq = m.seq AND sent.value IS NOT NULL
+    WHERE k < 98 GROUP BY m.session_id, m.seq, m.topic, k, ts""",
 )
 def decode_frames(spark, sf_dir):
-    events = frames.decode_frames(_frames(spark, sf_dir))
-    return events.select(
-        "session_id", frames.frame_of(F.col("seq")).alias("frame"), "topic", "is_snapshot"
+    """Frames with all they carry: topic, stamp, and every field of the payload."""
+    events = cut_lineage(frames.decode_frames(_frames(spark, sf_dir)), "frames")
+    stamps = events.select(
+        "session_id", "seq", "is_snapshot", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")
+    )
+    return _with_fields(events).join(stamps, ["session_id", "seq"]).select(
+        "session_id", frames.frame_of(F.col("seq")).alias("frame"), "topic", "is_snapshot", "micros", "fields"
     )
 
 
@@ -341,15 +378,27 @@ def _logged(spark, sf_dir):
     return rows.select(
         F.col("session_id").cast("string").alias("session"),
         F.col("driver").cast("string").alias("driver"),
-        "lap", "position", "p_top3", "expected_position",
+        "lap", "total_laps", "position", "p_top3", "p_points", "expected_position",
     )
 
 
-PRED_SQL = """SELECT CAST(session_id AS VARCHAR) AS session, CAST(driver AS VARCHAR) AS driver, lap,
+PREDS = """preds AS (SELECT session_id, driver, max(lap) AS lap, arg_max(position, lap) AS position,
+  avg(CAST(position <= 3 AS DOUBLE)) AS p_top3, avg(CAST(position <= 10 AS DOUBLE)) AS p_points,
+  avg(CAST(position AS DOUBLE)) AS expected_position, max(total_laps) AS total_laps
+  FROM laps WHERE lap * 2 <= total_laps GROUP BY 1, 2)"""
+PRED_SQL = """SELECT CAST(session_id AS VARCHAR) AS session, CAST(driver AS VARCHAR) AS driver, lap, total_laps,
+  position, round(p_top3, 6) AS p_top3, round(p_points, 6) AS p_points,
   round(expected_position, 6) AS expected_position FROM preds"""
 
 
-@query("a15_append_predictions", f"WITH {LAPS}, preds AS (SELECT session_id, driver, max(lap) AS lap, avg(CAST(position AS DOUBLE)) AS expected_position FROM laps WHERE lap * 2 <= total_laps GROUP BY 1, 2) {PRED_SQL}")
+def _shown(rows):
+    return rows.select(
+        "session", "driver", *[F.col(c).cast("bigint").alias(c) for c in ("lap", "total_laps", "position")],
+        *[r6(c).alias(c) for c in ("p_top3", "p_points", "expected_position")],
+    )
+
+
+@query("a15_append_predictions", f"WITH {LAPS}, {PREDS} {PRED_SQL}")
 def append_predictions(spark, sf_dir):
     """Two appends to one log, then read back."""
     path = scratch_path(spark, "predictions")
@@ -357,12 +406,10 @@ def append_predictions(spark, sf_dir):
     even = F.col("driver").cast("bigint") % 2 == 0
     predictions.append_predictions(rows.where(even), path)
     predictions.append_predictions(rows.where(~even), path)
-    return predictions.read_predictions(spark, path).select(
-        "session", "driver", "lap", r6("expected_position").alias("expected_position")
-    )
+    return _shown(predictions.read_predictions(spark, path))
 
 
-@query("a16_read_predictions", f"WITH {LAPS}, preds AS (SELECT session_id, driver, max(lap) AS lap, avg(CAST(position AS DOUBLE)) AS expected_position FROM laps WHERE lap * 2 <= total_laps GROUP BY 1, 2) {PRED_SQL} WHERE driver % 3 <> 0")
+@query("a16_read_predictions", f"WITH {LAPS}, {PREDS} {PRED_SQL} WHERE driver % 3 <> 0")
 def read_predictions(spark, sf_dir):
     """A log in which every third line is torn."""
     path = scratch_path(spark, "torn")
@@ -371,9 +418,7 @@ def read_predictions(spark, sf_dir):
     torn = F.col("driver").cast("bigint") % 3 == 0
     line = F.when(torn, F.substring(whole, 1, 20)).otherwise(whole)
     rows.select(line.alias("value")).write.text(path)
-    return predictions.read_predictions(spark, path).select(
-        "session", "driver", "lap", r6("expected_position").alias("expected_position")
-    )
+    return _shown(predictions.read_predictions(spark, path))
 
 
 @query(
