@@ -144,7 +144,7 @@ def fold_tree(events: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
     writes = cut_lineage(_writes(events), "tree-writes")
     # An indexed object over a list leaves a list; otherwise writes speak for themselves.
     fixed = F.when(F.col("kind") != INDEXED, F.struct("seq", "kind"))
-    seen = cut_lineage(running(writes, KEYS, "seq", lasts={"fixed": fixed}, span=span), "tree-seen")
+    seen = running(writes, KEYS, "seq", lasts={"fixed": fixed}, span=span)
     judged = _judged(seen.withColumn("epoch", F.lit(-1).cast("bigint")), span)
     while True:
         known = cut_lineage(_epochs(judged, span).where("known is not null"), "tree-epochs")
@@ -156,7 +156,7 @@ def fold_tree(events: DataFrame, span: int = CHUNK_SPAN) -> DataFrame:
         )
         if asked.where(matters).isEmpty():
             return _alive(judged)
-        again = seen.join(known, [*KEYS, "seq"], "left")
+        again = judged.select(*seen.columns).join(known, [*KEYS, "seq"], "left")
         judged = _judged(again.withColumn("epoch", F.coalesce("known", F.lit(-1).cast("bigint"))).drop("known"), span)
 
 
