@@ -60,15 +60,16 @@ def reason_flags(
 
 
 def classify_laps(
-    laps: DataFrame, keys: Sequence[str] = ("session_id",), **rules: float | bool
+    laps: DataFrame, keys: Sequence[str] = ("session_id",), best: DataFrame | None = None, **rules: float | bool
 ) -> DataFrame:
     """Add ``best`` and ``reasons``; an empty array marks a clean lap.
 
-    The best table has one row per session. Its join is left to Spark: broadcast
+    The best table has one row per session; where ``laps`` are not all there is, it is
+    given. Its join is left to Spark: broadcast
     while measured small, otherwise a sort-merge join that AQE splits on skew.
     """
     keys = list(keys)
-    best = session_best(laps, keys)
+    best = session_best(laps, keys) if best is None else best.select(*keys, "best")
     named = [F.when(flag, F.lit(name)) for name, flag in reason_flags(**rules).items()]
     return laps.join(best, keys, "left").withColumn("reasons", F.array_compact(F.array(*named)))
 

@@ -66,12 +66,18 @@ def compound_usage(usable: DataFrame, keys: Sequence[str], order: str = "seq") -
     counted per lap number first, so the exact median is read off a running count
     over lap numbers and never off the laps themselves.
     """
+    return usage_of(lap_counts(usable, keys, order), keys)
+
+
+def lap_counts(usable: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """Laps of each known compound per lap number, and the first of them."""
+    by = [*keys, "compound", "lap"]
+    return usable.where(_known()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
+
+
+def usage_of(per_lap: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`compound_usage` from counts per lap number."""
     by = [*keys, "compound"]
-    per_lap = (
-        usable.where(_known())
-        .groupBy(*by, "lap")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
-    )
     along = Window.partitionBy(*by).orderBy("lap")
     whole = Window.partitionBy(*by)
     counted = per_lap.withColumns({"upto": F.sum("n").over(along), "laps": F.sum("n").over(whole)})
@@ -323,14 +329,19 @@ def fit_pace(clean: DataFrame, keys: Sequence[str] = ("session_id",), order: str
     """
     keys = list(keys)
     usable = usable_laps(clean)
-    used = compound_usage(usable, keys, order)
+    return fit_sums(cut_lineage(stint_sums(usable, keys), "stint-sums"), lap_counts(usable, keys, order), keys)
+
+
+def fit_sums(stints: DataFrame, per_lap: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`fit_pace` from :func:`stint_sums`, read several times, and :func:`lap_counts`."""
+    keys = list(keys)
+    used = usage_of(per_lap, keys)
     marks = used.groupBy(*keys).agg(
         F.max(F.when(F.col("is_reference"), F.col("compound"))).alias("reference"),
         F.map_from_entries(F.collect_list(F.struct("compound", "phase"))).alias("phase"),
         (F.max("phase") - F.min("phase")).alias("phase_spread"),
         F.count(F.lit(1)).alias("n_compounds"),
     )
-    stints = cut_lineage(stint_sums(usable, keys), "stint-sums")
     groups = (
         stints.groupBy(*keys)
         .agg(

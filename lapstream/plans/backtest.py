@@ -1,8 +1,10 @@
 """Backtest: what would have been said at a series of laps, each from what was known then.
 
 All laps of all sessions go through one plan, keyed by (session, as-of lap). Lap
-extraction only looks back, so laps are extracted once and cut per wanted lap;
-nothing is folded again from the start.
+extraction only looks back, so laps are extracted once and nothing is folded again
+from the start. Nor are laps copied per wanted lap: what was known only grows and the
+session best only falls, so a lap counts over a run of wanted laps (:func:`lap_spans`).
+Laps are summed per run; only those sums are dealt to the wanted laps of their run.
 """
 
 from __future__ import annotations
@@ -28,8 +30,56 @@ def known_laps(laps: DataFrame, lap_counts: DataFrame, wanted: Sequence[int] = W
     return clean.clean_laps(clean.classify_laps(known, KEYS))
 
 
+def lap_spans(laps: DataFrame, lap_counts: DataFrame, wanted: Sequence[int] = WANTED) -> DataFrame:
+    """Laps that are clean at some wanted lap, once each: the run ``since`` to before ``until``
+    of places among the sorted wanted laps at which they are known and clean.
+
+    A lap enters with the first cutoff at or after it, and leaves where the best known by
+    then makes it implausible. A session's reached laps come before those it never got to.
+    """
+    asked = lap_cutoffs(lap_counts, sorted(set(wanted))).where("reached")
+    cuts = asked.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("places"), F.array_compact(F.collect_list("cutoff")).alias("cutoffs")
+    )
+    passed = F.filter("cutoffs", lambda cutoff: cutoff < F.col("seq"))
+    dated = laps.join(cuts, "session_id").withColumn("since", F.size(passed)).where("since < places")
+    dated = cut_lineage(dated.drop("cutoffs"), "dated")
+    firsts = clean.session_best(dated, ("session_id", "places", "since")).groupBy("session_id", "places").agg(
+        F.collect_list(F.struct("since", "best")).alias("firsts")
+    )
+
+    def best_at(place):
+        known = F.filter("firsts", lambda f: f["since"] <= place)
+        return F.array_min(F.transform(known, lambda f: f["best"]))
+
+    bests = F.transform(F.sequence(F.lit(0), F.col("places").cast("int") - 1), best_at)
+    flags = clean.reason_flags()
+    del flags["IMPLAUSIBLE"]
+    kept = dated.drop("places").join(firsts.select("session_id", bests.alias("bests")), "session_id")
+    for flag in flags.values():
+        kept = kept.where(~flag)
+    slow = F.filter("bests", lambda best: F.col("lap_time") > best * clean.OUTLIER_RATIO)
+    return kept.withColumn("until", F.size("bests") - F.size(slow)).where("since < until").drop("bests")
+
+
+def over_laps(cells: DataFrame, wanted: Sequence[int] = WANTED) -> DataFrame:
+    """A row of sums per run, dealt to ``as_of_lap`` of each wanted lap in it."""
+    laps = F.array(*[F.lit(x).cast("bigint") for x in sorted(set(wanted))])
+    place = F.explode(F.sequence("since", F.col("until") - 1))
+    dealt = cells.withColumn("place", place).withColumn("as_of_lap", F.get(laps, F.col("place")))
+    return dealt.drop("since", "until", "place")
+
+
 def fits_as_of(laps: DataFrame, lap_counts: DataFrame, wanted: Sequence[int] = WANTED) -> DataFrame:
-    return pace.fit_pace(cut_lineage(known_laps(laps, lap_counts, wanted), "known"), KEYS)
+    usable = cut_lineage(pace.usable_laps(lap_spans(laps, lap_counts, wanted)), "spans")
+    run = ["session_id", "since", "until"]
+    stints = over_laps(pace.stint_sums(usable, run), wanted).groupBy(*KEYS, "driver", "compound", "stint").agg(
+        *[F.sum(s).alias(s) for s in pace.SUMS], F.max("max_lap").alias("max_lap")
+    )
+    counts = over_laps(pace.lap_counts(usable, run), wanted).groupBy(*KEYS, "compound", "lap").agg(
+        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen")
+    )
+    return pace.fit_sums(cut_lineage(stints, "stint-sums"), counts, KEYS)
 
 
 def cars_as_of(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lapstream.operators.laps import as_of_lap, lap_cutoffs
 from lapstream.plans import backtest, standins
 from lapstream.plans.oracle_views import LAPS
+from lapstream.plans.queries_clean import BEST
+from lapstream.plans.queries_pace import REFUSED
 from lapstream.plans.registry import query, r6
 from lapstream.session import cut_lineage
 
@@ -46,9 +48,10 @@ kclean AS (
       FROM kclean GROUP BY 1, 2""",
 )
 def known_laps(spark, sf_dir):
-    found = backtest.known_laps(*_inputs(spark, sf_dir), ASKED)
-    return found.groupBy("session_id", "as_of_lap").agg(
-        F.count(F.lit(1)).alias("clean_laps"), F.max("seq").alias("last_seq")
+    spans = backtest.lap_spans(*_inputs(spark, sf_dir), ASKED)
+    runs = spans.groupBy("session_id", "since", "until").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    return backtest.over_laps(runs, ASKED).groupBy("session_id", "as_of_lap").agg(
+        F.sum("n").alias("clean_laps"), F.max("last").alias("last_seq")
     )
 
 
@@ -73,7 +76,37 @@ def cars_as_of(spark, sf_dir):
     return backtest.cars_as_of(deltas, counts, ("compound", "stint"), ASKED)
 
 
-@query("m12_backtest")
+# A fit key is the session with the lap asked about, so the SQL of the fits serves as it is.
+REFUSED_THEN = REFUSED.replace(
+    BEST, f"{KNOWN}, clean AS (SELECT * REPLACE (session_id || '@' || as_of_lap AS session_id) FROM kclean)"
+)
+
+
+@query(
+    "m12_backtest",
+    f"""WITH RECURSIVE {REFUSED_THEN},
+plays AS (
+  SELECT k.*, lap % 12 AS option_id, session_id || '@' || as_of_lap AS fit FROM known k),
+subject AS (
+  SELECT fit, driver, max(total_laps) AS total, arg_max(position, lap) AS start FROM plays GROUP BY 1, 2),
+scores AS (
+  SELECT fit, session_id, as_of_lap, driver, option_id, total, start, avg(position) AS mean,
+    avg(CAST(position <= 3 AS INT)) AS p3, avg(CAST(position <= 10 AS INT)) AS p10,
+    avg(CAST(position < start AS INT)) AS gain, count(*) AS n
+  FROM plays JOIN subject USING (fit, driver)
+  WHERE fit IN (SELECT session_id FROM fitted) AND fit NOT IN (SELECT session_id FROM refused) GROUP BY ALL),
+best_of AS (
+  SELECT *, row_number() OVER w AS place, coalesce(lead(mean) OVER w - mean, 0) AS margin
+  FROM scores WINDOW w AS (PARTITION BY fit, driver ORDER BY mean, option_id))
+SELECT CAST(session_id AS VARCHAR) AS session, CAST(session_id % 10 AS VARCHAR) AS circuit, as_of_lap AS lap,
+  total AS total_laps, driver, CAST(driver AS VARCHAR) AS tla, start AS position,
+  least(as_of_lap + [0, 3, 6, 10][option_id // 3 + 1], total) AS pit_lap,
+  ['SOF', 'MED', 'HAR'][option_id % 3 + 1] AS compound, round(mean, 6) AS expected_position,
+  round(margin, 6) AS margin, margin >= CAST(0.15 AS DOUBLE) AS decisive, round(p3, 6) AS p_top3,
+  round(p10, 6) AS p_points, round(gain, 6) AS p_gain, n AS n_sims,
+  least(as_of_lap + 10, total) AS horizon_lap
+FROM best_of WHERE place = 1""",
+)
 def run(spark, sf_dir):
     """Usable fits to prediction rows; laps of the car known by then play the draws."""
     laps, counts = _inputs(spark, sf_dir)
@@ -99,7 +132,5 @@ def run(spark, sf_dir):
         }
     )
     rows = backtest.predictions(fits, named, draws)
-    return rows.select(
-        "session", "lap", "driver", "compound", r6("expected_position").alias("expected_position"),
-        "horizon_lap",
-    )
+    chances = ("expected_position", "margin", "p_top3", "p_points", "p_gain")
+    return rows.withColumns({c: r6(c) for c in chances}).drop("id", "recorded_at", "note")
