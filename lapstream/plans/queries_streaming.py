@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CARS, FEED, FEED_LAPS, MSG
 from lapstream.plans.queries_board import _frames
+from lapstream.plans.queries_clean import BEST
+from lapstream.plans.queries_pace import REFUSED
 from lapstream.plans.registry import joined, query, r6
-from lapstream.session import scratch_path
+from lapstream.session import cut_lineage, scratch_path
 from lapstream.streaming import advice, laps, run, state
 
 STEPS = 3
@@ -128,18 +130,52 @@ def stream_latency(spark, sf_dir):
     return found.select("session_id", F.unix_micros("window_start").alias("day"), "frames")
 
 
-@query("o4_advice_refresh")
+# A fit key is the session with the step, so the SQL of the classes and fits serves as it is.
+STEPPED = f"""{BEST.split("best AS (")[0].rstrip().rstrip(",")},
+bounds AS (SELECT min(seq) AS low, (max(seq) - min(seq)) // {STEPS} + 1 AS width FROM laps),
+dealt AS (SELECT l.*, (seq - low) // width AS step FROM laps l CROSS JOIN bounds),
+came AS (SELECT DISTINCT session_id AS session, step FROM dealt),
+held AS (SELECT d.* REPLACE (d.session_id || '@' || c.step AS session_id), c.session, c.step AS upto
+  FROM dealt d JOIN came c ON d.session_id = c.session AND d.step <= c.step),
+best AS ({BEST.split("best AS (")[1].replace("FROM laps", "FROM held", 1).replace("FROM laps l", "FROM held l", 1)}"""
+
+
+@query(
+    "o4_advice_refresh",
+    f"""WITH RECURSIVE {REFUSED.replace(BEST, STEPPED)},
+got AS (SELECT session_id, session, upto, max(lap) AS lap FROM held GROUP BY 1, 2, 3),
+further AS (
+  SELECT *, coalesce(lap > lag(lap) OVER (PARTITION BY session ORDER BY upto), TRUE) AS more FROM got),
+sizes AS (SELECT session_id, count(*) AS n FROM clean GROUP BY 1)
+SELECT g.session AS session_id, g.lap, coalesce(s.n, 0) AS clean_laps,
+  CASE WHEN whole THEN round(trend, 5) END AS trend, round(residual_std, 5) AS residual_std,
+  CASE WHEN f.session_id IS NULL THEN 'not enough clean laps' ELSE coalesce(refusals, '') END AS refused,
+  f.session_id IS NOT NULL AND refusals IS NULL AS usable
+FROM further g LEFT JOIN sizes s USING (session_id) LEFT JOIN fitted f USING (session_id)
+  LEFT JOIN refused r USING (session_id)
+WHERE more""",
+)
 def advice_refresh(spark, sf_dir):
-    """Laps arriving in steps; advice once per session and lap reached."""
+    """Laps arriving in steps of seq; advice once per session and lap reached. Only a fit of
+    full rank has numbers to name, as in the query of refused fits."""
     path = scratch_path(spark, "o4")
     rows = standins.laps(spark, sf_dir)
-    keep = rows.drop("value", "k", "is_last", "status", "circuit", "total_laps")
-    keep.repartitionByRange(STEPS, "seq").write.parquet(path)
-    out, known = scratch_path(spark, "o4-out"), scratch_path(spark, "o4-laps")
-    stream = spark.readStream.schema(keep.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    keep = cut_lineage(rows.drop("value", "k", "is_last", "status", "circuit", "total_laps"), "o4-rows")
+    low, high = keep.agg(F.min("seq"), F.max("seq")).first()
+    width = (high - low) // STEPS + 1
+    out, known, log = (scratch_path(spark, x) for x in ("o4-out", "o4-laps", "o4-log"))
     write = advice.refresher(known, out)
-    _settle(run.each_batch(stream, write, scratch_path(spark, "o4-log")))
-    return spark.read.parquet(out).select("session_id", "lap", "clean_laps", "usable")
+    for step in range(STEPS):
+        part = keep.where((F.col("seq") >= low + step * width) & (F.col("seq") < low + (step + 1) * width))
+        part.write.mode("append").parquet(path)
+        # What is new since the last run is one micro-batch.
+        _settle(run.each_batch(spark.readStream.schema(keep.schema).parquet(path), write, log))
+    whole = ~F.array_contains("refused", "effects not identified")
+    return spark.read.parquet(out).select(
+        "session_id", "lap", "clean_laps", F.when(whole, F.round("trend", 5)).alias("trend"),
+        F.round("residual_std", 5).alias("residual_std"),
+        F.when(whole, joined("refused")).otherwise("effects not identified").alias("refused"), "usable",
+    )
 
 
 @query("o5_catch_up_then_tail", LAP_SQL)
