@@ -130,7 +130,7 @@ def board_rows(cars: DataFrame, trends: DataFrame, grids: DataFrame) -> DataFram
 
 
 STINTS = (
-    "array<struct<compound:string,is_new:boolean,start_laps:bigint,total_laps:bigint>>"
+    "array<struct<stint:bigint,compound:string,is_new:boolean,start_laps:bigint,total_laps:bigint>>"
 )
 
 

@@ -52,6 +52,8 @@ PROJECTED = (
 CAR = ("session_id", "car")
 SESSION = ("session_id",)
 UNPLACED = 999
+#: Stints of a gap that are dealt out together.
+GAP_PART = 4096
 
 
 def _at(source: str, path: str, kind: str = "string") -> Column:
@@ -297,29 +299,45 @@ def driver_state(deltas: DataFrame) -> DataFrame:
 
 
 def stint_state(deltas: DataFrame) -> DataFrame:
-    """``stints`` array per car, in index order, gaps filled with an unknown set.
+    """``stints`` array per car: the stints that were sent, in index order, with their index.
 
-    State is folded per (car, stint) first, so what is gathered per car is one
-    entry per stint run.
+    State is folded per (car, stint) first, so what is gathered per car is one entry per
+    stint run. Indexes come from the feed and may be any number; those between, never sent,
+    are unknown sets of no laps and take no room (:func:`stint_rows` shows them).
     """
     fields = ("compound", "is_new", "start_laps", "total_laps")
     each = last_states(
-        deltas, [*CAR, "stint"], "seq", {f: F.col(f) for f in fields}, first="first_seen"
+        deltas.where(F.col("stint").isNotNull()), [*CAR, "stint"], "seq", {f: F.col(f) for f in fields}, first="first_seen"
     )
+    unset = _unset_stint()
+    entry = F.struct("stint", *[F.coalesce(f, unset[f]).alias(f) for f in fields])
+    return each.groupBy(*CAR).agg(
+        F.array_sort(F.collect_list(entry)).alias("stints"), F.min("first_seen").alias("first_seen")
+    )
+
+
+def _unset_stint() -> dict[str, Column]:
     unset = {"compound": F.lit("UNKNOWN"), "is_new": F.lit(True)}
-    unset |= {f: F.lit(0).cast("bigint") for f in ("start_laps", "total_laps")}
-    entry = F.struct(*[F.coalesce(f, unset[f]).alias(f) for f in fields])
-    blank = F.struct(*[unset[f].alias(f) for f in fields])
-    gathered = each.groupBy(*CAR).agg(
-        F.map_from_entries(F.collect_list(F.struct("stint", entry))).alias("known"),
-        F.max("stint").alias("top"),
-        F.min("first_seen").alias("first_seen"),
+    return unset | {f: F.lit(0).cast("bigint") for f in ("start_laps", "total_laps")}
+
+
+def stint_rows(state: DataFrame) -> DataFrame:
+    """A row per stint of a car from its first to its last, gaps as unknown sets.
+
+    A gap is a run until here; it is dealt out in parts, so its length never sizes an array.
+    """
+    sent = state.select(*CAR, F.posexplode("stints").alias("at", "s"), "stints").select(
+        *CAR, "s", F.coalesce(F.get("stints", F.col("at") - 1)["stint"] + 1, F.lit(0).cast("bigint")).alias("low")
     )
-    filled = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("top")),
-        lambda i: F.coalesce(F.try_element_at("known", i), blank),
+    high = F.col("s.stint") - 1
+    parts = sent.where(F.col("low") <= high).select(
+        *CAR, "low", high.alias("high"), F.explode(F.sequence(F.expr(f"low div {GAP_PART}"), F.expr(f"(s.stint - 1) div {GAP_PART}"))).alias("part")
     )
-    return gathered.select(*CAR, filled.alias("stints"), "first_seen")
+    start = F.greatest("low", F.col("part") * GAP_PART)
+    end = F.least("high", F.col("part") * GAP_PART + GAP_PART - 1)
+    unset = [value.alias(name) for name, value in _unset_stint().items()]
+    gaps = parts.select(*CAR, F.explode(F.sequence(start, end)).alias("stint"), *unset)
+    return sent.select(*CAR, "s.*").unionByName(gaps)
 
 
 def session_state(deltas: DataFrame) -> DataFrame:

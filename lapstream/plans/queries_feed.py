@@ -236,12 +236,7 @@ def timing_projection(spark, sf_dir):
 )
 def stint_projection(spark, sf_dir):
     state = fold.stint_state(fold.stint_deltas(_events(spark, sf_dir)))
-    return state.select(
-        "session_id", "car", F.posexplode("stints").alias("stint", "s")
-    ).select(
-        "session_id", "car", F.col("stint").cast("bigint").alias("stint"),
-        "s.compound", "s.is_new", "s.total_laps",
-    )
+    return fold.stint_rows(state).select("session_id", "car", "stint", "compound", "is_new", "total_laps")
 
 
 @query(
