@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ TOP = 2000
 COVERED = 50
 SCALE = 1_000_000
 BLOCK_WORDS = 1 << 20
+#: Bytes of text that are split at once; a longer text is split whole.
+PORTION = 1 << 22
 #: Floors of the bands, from the highest bounds down.
 FLOORS = (300_000, 50_000, 2_000, 0)
 BITS = 24
@@ -58,67 +61,87 @@ NONE = -1
 # blocks -------------------------------------------------------------------------
 
 
+def tokens(texts: pa.Array) -> Iterator[pa.BinaryArray]:
+    """Words of texts in order, with a break where a piece or a text ends, in portions of whole texts."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    portion = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PORTION
+    ends = np.append(np.flatnonzero(np.diff(portion)) + 1, len(texts))
+    for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        several = pa.LargeListArray.from_arrays(pa.array([0, high - low], pa.int64()), texts[low:high])
+        body = pc.binary_join(several, pa.scalar(BREAK, pa.large_binary()))[0].as_py() + BREAK
+        body = np.frombuffer(body.translate(TABLE), np.uint8)
+        ended, blank = body == BREAK[0], (body == 32) | (body == 9)
+        # A break is a word of its own; further ones behind it say nothing new.
+        first = np.ones(len(body), dtype=bool)
+        first[1:] = blank[:-1] | ended[1:] | ended[:-1]
+        kept = ~blank
+        kept[1:] &= ~(ended[1:] & ended[:-1])
+        body, first = body[kept], np.flatnonzero(first[kept])
+        offsets = pa.py_buffer(np.append(first, len(body)).astype(np.int32))
+        yield pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(body)])
+
+
+def tail_of(words: pa.Array) -> pa.Array:
+    """The last two words, or those of them behind a break."""
+    last = words[-2:].to_pylist()
+    return words[len(words) - (last[::-1].index(BREAK) if BREAK in last else len(last)) :]
+
+
+def block_of(words: pa.Array, context: int) -> tuple[pa.StructArray, bytes]:
+    """Distinct words with their counts behind the context, most frequent first, and the number of
+    the word at each position (0: a break)."""
+    coded = pa.concat_arrays([pa.array([BREAK], pa.binary()), words]).dictionary_encode()
+    at, names = coded.indices.to_numpy()[1:], coded.dictionary
+    counts = np.bincount(at[context:], minlength=len(names))
+    order = np.argsort(-counts[1:], kind="stable") + 1
+    rank = np.zeros(len(names), dtype=np.int64)
+    rank[order] = np.arange(1, len(names))
+    listed = pa.StructArray.from_arrays([names.take(pa.array(order)).cast(pa.string()), pa.array(counts[order])], ["word", "n"])
+    return listed, pack(rank[at])
+
+
 def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """lang, block, words (word, n), packed positions, and words of context at the start.
 
-    Position 0 is a break. Blocks of several languages are open at once; when all together
-    hold ``block_words`` the largest is written."""
+    Words of several languages are held at once; when all together are ``block_words`` or more,
+    the first ones of the language that holds most become a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        places: dict[str, dict[bytes, int]] = {}
-        held: dict[str, list[int]] = {}
+        held: dict[str, pa.Array] = {}
+        fresh: dict[str, list[pa.Array]] = {}
         context: dict[str, int] = {}
-        total = 0
-
-        def out(lang: str, goes_on: bool) -> pa.RecordBatch:
-            nonlocal number, total
-            place, at = places.pop(lang), np.array(held.pop(lang), dtype=np.int64)
-            skip = context.pop(lang, 0)
-            counts = np.bincount(at[skip:], minlength=len(place))
-            order = np.argsort(-counts[1:], kind="stable") + 1
-            rank = np.zeros(len(place), dtype=np.int64)
-            rank[order] = np.arange(1, len(place))
-            names = list(place)
-            words = pa.StructArray.from_arrays(
-                [pa.array([names[i] for i in order.tolist()], pa.binary()).cast(pa.string()), pa.array(counts[order])],
-                ["word", "n"],
-            )
+        sizes: dict[str, int] = {}
+
+        def out(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            every = pa.concat_arrays([*([held.pop(lang)] if lang in held else []), *fresh.pop(lang, [])])
+            before = context.get(lang, 0)
+            words, rest = every[: before + block_words], every[before + block_words :]
+            listed, positions = block_of(words, before)
             row = [
                 pa.array([lang]),
                 pa.array([(task << 32) + number]),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                pa.array([pack(rank[at])], pa.binary()),
-                pa.array([skip], pa.int32()),
+                pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
+                pa.array([positions], pa.binary()),
+                pa.array([before], pa.int32()),
             ]
-            number, total = number + 1, total - len(at)
-            if goes_on:
-                tail = [names[i] for i in at[-2:].tolist()]
-                tail = tail[tail.index(BREAK) + 1 :] if BREAK in tail else tail
-                tail = tail[tail.index(BREAK) + 1 :] if BREAK in tail else tail
-                places[lang], held[lang], context[lang] = {BREAK: 0}, [], len(tail)
-                held[lang] = [places[lang].setdefault(w, len(places[lang])) for w in tail]
-                total += len(tail)
+            number += 1
+            tail = tail_of(words)
+            held[lang], context[lang], sizes[lang] = pa.concat_arrays([tail, rest]), len(tail), len(rest)
             return pa.RecordBatch.from_arrays(row, ["lang", "block", "words", "positions", "context"])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                words = body.translate(TABLE).replace(BREAK, b" \xff ").split()
-                for low in range(0, len(words), block_words):
-                    part = words[low : low + block_words]
-                    place = places.setdefault(lang, {BREAK: 0})
-                    mine = held.setdefault(lang, [])
-                    mine += [place.setdefault(w, len(place)) for w in part]
-                    total += len(part)
-                    ended = low + block_words >= len(words)
-                    if ended:
-                        mine.append(0)
-                        total += 1
-                    if total >= block_words:
-                        yield out(lang, True) if not ended else out(max(held, key=lambda x: len(held[x])), False)
-        for lang in list(held):
-            yield out(lang, False)
+            coded = batch.column("lang").dictionary_encode()
+            for at, lang in enumerate(coded.dictionary.to_pylist()):
+                for words in tokens(batch.column("text").filter(pc.equal(coded.indices, at))):
+                    fresh.setdefault(lang, []).append(words)
+                    sizes[lang] = sizes.get(lang, 0) + len(words)
+                    while sum(sizes.values()) >= block_words:
+                        yield out(max(sizes, key=sizes.__getitem__))
+        for lang in list(sizes):
+            while sizes[lang]:
+                yield out(lang)
         pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -128,11 +151,33 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
+def slot_of(lang: str, word: str) -> Column:
+    return F.pmod(F.xxhash64(lang, word), F.lit(1 << BITS))
+
+
+def frequent_slots(words: DataFrame) -> DataFrame:
+    """One row: the slots of the frequent words as an array of 64-bit words, 2**BITS bits at any size."""
+    slot = words.select(slot_of("lang", "word").alias("slot"))
+    filled = slot.groupBy(F.expr("slot div 64").alias("place")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")
+    )
+    every = words.sparkSession.range(1 << BITS - 6).select(F.col("id").alias("place"), F.lit(0).cast("bigint").alias("bits"))
+    rows = every.unionByName(filled).groupBy("place").agg(F.sum("bits").alias("bits"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "bits")))
+    return rows.agg(listed.alias("l")).select(F.col("l.bits").alias("slots"))
+
+
 def coded_blocks(found: DataFrame, words: DataFrame) -> DataFrame:
-    """lang, block, positions, context, and id and count of the frequent words by place."""
+    """lang, block, positions, context, and id and count of the frequent words by place.
+
+    Only words whose slot is that of a frequent word are sent to the join."""
+    slots = cut_lineage(frequent_slots(words), "phrases-slots")
     each = found.select("lang", "block", F.posexplode("words").alias("at", "w")).select(
         "lang", "block", "at", F.col("w.word").alias("word")
     )
+    slot = slot_of("lang", "word")
+    word = F.element_at(slots.scalar(), (F.shiftright(slot, 6) + 1).cast("int"))
+    each = each.filter(F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1)
     known = (
         each.join(words.select("lang", "word", "id", "f"), ["lang", "word"])
         .groupBy("block")
@@ -196,27 +241,25 @@ def grams(at: np.ndarray, context: int, width: int) -> np.ndarray:
     return seen[(seen > 0).all(axis=1)]
 
 
-def tallied(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of word numbers as ids (the third of a pair is ``NONE``), and how often each occurs."""
-    base = len(ids)
-    if base ** rows.shape[1] < 1 << 63:
-        key = rows[:, 0]
-        for i in range(1, rows.shape[1]):
-            key = key * base + rows[:, i]
-        key, n = np.unique(key, return_counts=True)
-        parts = []
-        for _ in range(rows.shape[1]):
-            key, last = np.divmod(key, base)
-            parts.append(last)
-        rows = np.stack(parts[::-1], axis=1)
-    else:
-        rows, n = np.unique(rows, axis=0, return_counts=True)
-    columns = [ids[rows[:, i]] for i in range(rows.shape[1])]
-    return (*columns, np.full(len(n), NONE), n)[:3] + (n,)
+def tallied(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of word numbers, and how often each occurs."""
+    base = int(rows.max()) + 1
+    if base ** rows.shape[1] >= 1 << 63:
+        return np.unique(rows, axis=0, return_counts=True)
+    key = rows[:, 0]
+    for i in range(1, rows.shape[1]):
+        key = key * base + rows[:, i]
+    key, n = np.unique(key, return_counts=True)
+    parts = []
+    for _ in range(rows.shape[1]):
+        key, last = np.divmod(key, base)
+        parts.append(last)
+    return np.stack(parts[::-1], axis=1), n
 
 
 def count(coded: DataFrame, choose) -> DataFrame:
-    """i1, i2, i3, a of the phrases that ``choose(pairs or triples, ids, counts)`` picks."""
+    """lang, i1, i2, i3 (``NONE`` for a pair), a, and the counts f1, f2, f3 of the words, of the
+    phrases that ``choose(pairs or triples, ids, counts)`` picks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,11 +272,19 @@ def count(coded: DataFrame, choose) -> DataFrame:
                     rows = grams(at, batch.column("context")[i].as_py(), width)
                     rows = rows[choose(rows, ids, counts)]
                     if len(rows):
-                        columns = tallied(rows, ids)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i1", "i2", "i3", "n"])
+                        rows, n = tallied(rows)
+                        none = [np.full(len(n), NONE)] * (3 - width)
+                        columns = [*ids[rows].T, *none, *counts[rows].T, *none, n]
+                        lang = pa.array([batch.column("lang")[i].as_py()] * len(n), pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [lang, *(pa.array(np.ascontiguousarray(c)) for c in columns)],
+                            ["lang", "i1", "i2", "i3", "f1", "f2", "f3", "n"],
+                        )
 
-    parts = coded.select("positions", "context", "known").mapInArrow(run, "i1 bigint, i2 bigint, i3 bigint, n bigint")
-    return parts.groupBy("i1", "i2", "i3").agg(F.sum("n").alias("a"))
+    kinds = ", ".join(f"{c} bigint" for c in ("i1", "i2", "i3", "f1", "f2", "f3", "n"))
+    parts = coded.select("lang", "positions", "context", "known").mapInArrow(run, f"lang string, {kinds}")
+    # The language and the counts of words follow from their ids.
+    return parts.groupBy("lang", "i1", "i2", "i3").agg(F.sum("n").alias("a"), *[F.max(f).alias(f) for f in ("f1", "f2", "f3")])
 
 
 def bound(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -272,11 +323,8 @@ def score(a: str, part: str, rest: str) -> Column:
     return F.expr(f"(({a} * {a}) * cast({SCALE} as decimal(7, 0))) div ({part} * {rest})")
 
 
-def named(counts: DataFrame, words: DataFrame, *places: int) -> DataFrame:
-    """Add the count f<i> of the word at each place."""
-    for i in places:
-        counts = counts.join(words.select(F.col("id").alias(f"i{i}"), F.col("f").alias(f"f{i}")), f"i{i}")
-    return counts
+def scored_pairs(counts: DataFrame) -> DataFrame:
+    return counts.select("lang", "i1", "i2", "a", "f1", "f2", score("a", "f1", "f2").alias("score"))
 
 
 def collocations(
@@ -301,8 +349,7 @@ def collocations(
         # A pair that a cut needed in an earlier band is known by now.
         fresh = tried.filter(f"i3 = {NONE}")
         fresh = fresh if pairs is None else fresh.join(pairs.select("i1", "i2"), ["i1", "i2"], "left_anti")
-        more = named(fresh, words, 1, 2)
-        more = more.select("i1", "i2", "a", "f1", "f2", score("a", "f1", "f2").alias("score"))
+        more = scored_pairs(fresh)
         pairs = cut_lineage(more if pairs is None else pairs.unionByName(more), "phrases-pairs")
         more = tried.filter(f"i3 <> {NONE}")
         triples = cut_lineage(more if triples is None else triples.unionByName(more), "phrases-triples")
@@ -315,12 +362,11 @@ def collocations(
         asked = cut_lineage(asked, "phrases-asked")
         # Pairs counted for their own score come first; those counted for a cut alone join them.
         alone = asked.filter(f"i3 = {NONE}").join(cuts, ["i1", "i2"], "left_semi")
-        alone = named(alone, words, 1, 2).select("i1", "i2", "a", "f1", "f2", score("a", "f1", "f2").alias("score"))
-        pairs = cut_lineage(pairs.unionByName(alone), "phrases-pairs")
+        pairs = cut_lineage(pairs.unionByName(scored_pairs(alone)), "phrases-pairs")
         more = asked.filter(f"i3 <> {NONE}").select("i1", "i2", "i3", "a")
         around = cut_lineage(more if around is None else around.unionByName(more), "phrases-around")
 
-        kept = survivors(pairs, triples, around, words, floor).join(open_, "lang", "left_semi")
+        kept = survivors(pairs, triples, around, floor).join(open_, "lang", "left_semi")
         kept = cut_lineage(kept, "phrases-kept")
         done = open_ if floor == 0 else kept.groupBy("lang").count().filter(F.col("count") >= top).select("lang")
         done = cut_lineage(done, "phrases-done")
@@ -332,6 +378,7 @@ def collocations(
     every = settled[0]
     for more in settled[1:]:
         every = every.unionByName(more)
+    every = labelled(every, words)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # First within salted parts of a language, then among the first of each part.
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
@@ -344,8 +391,8 @@ def collocations(
     )
 
 
-def survivors(pairs: DataFrame, triples: DataFrame, around: DataFrame, words: DataFrame, floor: int) -> DataFrame:
-    """lang, phrase, a, l, r, score of all candidates that score at least ``floor`` and stay."""
+def survivors(pairs: DataFrame, triples: DataFrame, around: DataFrame, floor: int) -> DataFrame:
+    """lang, i1, i2, i3, a, l, r, score of all candidates that score at least ``floor`` and stay."""
     longer = around.unionByName(triples.select("i1", "i2", "i3", "a")).distinct()
     inside = longer.select("i1", "i2", F.col("a").alias("b")).unionByName(
         longer.select(F.col("i2").alias("i1"), F.col("i3").alias("i2"), F.col("a").alias("b"))
@@ -355,22 +402,25 @@ def survivors(pairs: DataFrame, triples: DataFrame, around: DataFrame, words: Da
         pairs.filter(F.col("score") >= floor)
         .join(most, ["i1", "i2"], "left")
         .filter(F.col("b").isNull() | (F.expr("cast(b as decimal(19, 0)) * 100") < F.expr(f"cast(a as decimal(19, 0)) * {COVERED}")))
-        .select("i1", "i2", F.lit(NONE).cast("bigint").alias("i3"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), "score")
+        .select("lang", "i1", "i2", F.lit(NONE).cast("bigint").alias("i3"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), "score")
     )
     head = pairs.select("i1", "i2", F.col("a").alias("p"))
     tail = pairs.select(F.col("i1").alias("i2"), F.col("i2").alias("i3"), F.col("a").alias("q"))
-    cut = named(triples.join(head, ["i1", "i2"]).join(tail, ["i2", "i3"]), words, 1, 3)
+    cut = triples.join(head, ["i1", "i2"]).join(tail, ["i2", "i3"])
     cut = cut.withColumns({"s1": score("a", "f1", "q"), "s2": score("a", "p", "f3")})
     first = F.col("s1") <= F.col("s2")
     three = cut.select(
-        *["i1", "i2", "i3", "a"],
+        *["lang", "i1", "i2", "i3", "a"],
         F.when(first, F.col("f1")).otherwise(F.col("p")).alias("l"),
         F.when(first, F.col("q")).otherwise(F.col("f3")).alias("r"),
         F.least("s1", "s2").alias("score"),
     ).filter(F.col("score") >= floor)
-    every = two.unionByName(three)
-    for i in (1, 2):
-        label = words.select(F.col("id").alias(f"i{i}"), F.col("word").alias(f"w{i}"), *(["lang"] if i == 1 else []))
-        every = every.join(label, f"i{i}")
-    every = every.join(words.select(F.col("id").alias("i3"), F.col("word").alias("w3")), "i3", "left")
+    return two.unionByName(three)
+
+
+def labelled(every: DataFrame, words: DataFrame) -> DataFrame:
+    """lang, phrase, a, l, r, score of phrases (i1, i2, i3)."""
+    for i in (1, 2, 3):
+        label = words.select(F.col("id").alias(f"i{i}"), F.col("word").alias(f"w{i}"))
+        every = every.join(label, f"i{i}", "left")
     return every.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "l", "r", "score")
