@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapstream.plans import standins
 from lapstream.plans.oracle_views import CARS, FEED, FEED_LAPS, MSG
-from lapstream.plans.queries_board import _frames
+from lapstream.plans.queries_board import FRAMES, _frames
 from lapstream.plans.queries_clean import BEST
 from lapstream.plans.queries_pace import REFUSED
 from lapstream.plans.registry import joined, query, r6
@@ -116,8 +116,14 @@ def stream_census(spark, sf_dir):
 
 @query(
     "o3_stream_latency",
-    f"""WITH {FEED} SELECT session_id, epoch_us(date_trunc('day', ts)) AS day, count(*) AS frames
-      FROM feed GROUP BY 1, 2""",
+    f"""WITH {FEED}, {FRAMES}, placed AS (
+      SELECT session_id, date_trunc('day', ts) AS day, lag, count(lag) OVER (PARTITION BY session_id, date_trunc('day', ts)) AS n,
+        row_number() OVER (PARTITION BY session_id, date_trunc('day', ts) ORDER BY lag NULLS LAST) AS place
+      FROM frames)
+    SELECT session_id, epoch_us(day) AS day, count(*) AS frames,
+      round(max(CASE WHEN place = ceil(n * CAST(0.5 AS DOUBLE)) THEN lag END), 6) AS lag_p50,
+      round(max(CASE WHEN place = ceil(n * CAST(0.99 AS DOUBLE)) THEN lag END), 6) AS lag_p99
+    FROM placed GROUP BY 1, 2""",
 )
 def stream_latency(spark, sf_dir):
     path = scratch_path(spark, "o3b")
@@ -127,7 +133,9 @@ def stream_latency(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).parquet(path)
     _settle(run.update_to(state.latency(stream, "1 day", "30 days"), out, scratch_path(spark, "o3b-log")))
     found = run.latest_updates(spark, out, ["session_id", "window_start"])
-    return found.select("session_id", F.unix_micros("window_start").alias("day"), "frames")
+    return found.select(
+        "session_id", F.unix_micros("window_start").alias("day"), "frames", *[r6(c).alias(c) for c in ("lag_p50", "lag_p99")]
+    )
 
 
 # A fit key is the session with the step, so the SQL of the classes and fits serves as it is.

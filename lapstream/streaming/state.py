@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from lapstream.operators import fold
 
+#: Rank error of a lag percentile is one in so many.
+LATENCY_ACCURACY = 10_000
+
 
 def car_states(events: DataFrame) -> DataFrame:
     """Timing state per car; start it in update mode for changed rows only."""
@@ -38,16 +41,23 @@ def topic_census(events: DataFrame, width: str = "1 minute", late: str = "10 min
     )
 
 
-def latency(frames: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Lag percentiles per time window, from a sketch of bounded size."""
+def latency(
+    frames: DataFrame, width: str = "1 minute", late: str = "10 minutes", accuracy: int = LATENCY_ACCURACY
+) -> DataFrame:
+    """Lag percentiles per time window, from a mergeable quantile sketch kept as state.
+
+    A percentile is a lag that was seen, whose rank among the n lags of the window is within
+    n / ``accuracy`` of ceil(share * n); with fewer than ``accuracy`` lags it is the lag of that
+    rank. Frames without a lag only count as frames; a window without any lag has NULLs.
+    """
     timed = frames.withColumn("arrival", F.col("arrival").cast("timestamp"))
     return (
         timed.withWatermark("arrival", late)
         .groupBy("session_id", F.window("arrival", width).alias("window"))
         .agg(
             F.count(F.lit(1)).alias("frames"),
-            F.percentile_approx("lag", 0.5).alias("lag_p50"),
-            F.percentile_approx("lag", 0.99).alias("lag_p99"),
+            F.percentile_approx("lag", 0.5, accuracy).alias("lag_p50"),
+            F.percentile_approx("lag", 0.99, accuracy).alias("lag_p99"),
         )
         .select(
             "session_id", F.col("window.start").alias("window_start"), "frames", "lag_p50", "lag_p99"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapstream.operators import fold, laps
 from lapstream.plans import standins
 from lapstream.streaming import laps as stream
-from lapstream.streaming import run
+from lapstream.streaming import run, state
 
 COLUMNS = (
     "session_id", "driver", "seq", "lap", "lap_time", "compound", "tyre_age", "stint", "position",
@@ -64,3 +64,27 @@ def test_late_row_does_not_overwrite(spark, tmp_path):
         run.update_to(state.car_states(events), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     found = run.latest_updates(spark, str(tmp_path / "out"), ["session_id", "car"])
     assert [r["position"] for r in found.collect()] == [3]
+
+
+def test_lag_percentiles_by_rank(spark):
+    size, second = 20_000, F.timestamp_seconds(F.lit(90))
+    many = spark.range(size, numPartitions=4).select(
+        F.lit("a").alias("session_id"), F.timestamp_seconds(F.col("id") % 60).alias("arrival"),
+        (F.col("id") * 7919 % size + 1).cast("double").alias("lag"),
+    )
+    few = spark.range(7).select(F.lit("b").alias("session_id"), second.alias("arrival"), F.when(F.col("id") < 5, F.col("id") * 1.5).alias("lag"))
+    none = spark.range(3).select(F.lit("c").alias("session_id"), second.alias("arrival"), F.lit(None).cast("double").alias("lag"))
+    every = many.unionByName(few).unionByName(none)
+
+    def found(accuracy):
+        return {r.session_id: (r.frames, r.lag_p50, r.lag_p99) for r in state.latency(every, accuracy=accuracy).collect()}
+
+    # A lag of the large window is its own rank.
+    for accuracy in (100, state.LATENCY_ACCURACY):
+        frames, half, most = found(accuracy)["a"]
+        assert frames == size
+        assert abs(half - size * 0.5) <= size / accuracy
+        assert abs(most - size * 0.99) <= size / accuracy
+        assert found(accuracy)["b"] == (7, 3.0, 6.0)
+        assert found(accuracy)["c"] == (3, None, None)
+    assert state.latency(every.limit(0)).count() == 0
