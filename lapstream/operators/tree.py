@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapstream.operators.scan import CHUNK_SPAN, running
@@ -35,8 +36,8 @@ class _Number(str):
     """A number as it is written."""
 
 
-def _load(body: str):
-    return json.loads(body, parse_int=_Number, parse_float=_Number)
+_load = json.JSONDecoder(parse_int=_Number, parse_float=_Number).decode
+_spelled = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def opened(body: str) -> list[tuple[list[str], str, bool, str | None]]:
@@ -53,23 +54,51 @@ def opened(body: str) -> list[tuple[list[str], str, bool, str | None]]:
             found.append((path, LIST, not value, None if value else "[]"))
             todo += [([*path, str(i)], v) for i, v in enumerate(value)]
         else:
-            text = str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+            text = str(value) if isinstance(value, _Number) else _spelled(value)
             found.append((path, SCALAR, False, text))
     return found
 
 
+def _texts(rows: list[list[str]]) -> pa.ListArray:
+    """A column of lists of texts, built flat."""
+    ends = pa.array(accumulate(map(len, rows), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(chain.from_iterable(rows), pa.string()))
+
+
+def _places(sizes: Iterator[int]) -> pa.Array:
+    return pa.array(accumulate(sizes, initial=0), pa.int32())
+
+
+def _texts(rows: list[list[str]]) -> pa.ListArray:
+    """A column of lists of texts, built flat."""
+    return pa.ListArray.from_arrays(_places(map(len, rows)), pa.array(chain.from_iterable(rows), pa.string()))
+
+
+def _containers(bodies: pa.Array) -> Iterator[tuple[int, list]]:
+    """Place and paths of every payload that is an object or a list."""
+    for place, body in enumerate(bodies.to_pylist()):
+        touched = [] if body is None else opened(body)
+        if touched and touched[0][1] != SCALAR:
+            yield place, touched
+
+
+def _bodies(events: DataFrame) -> tuple[DataFrame, str]:
+    """Payloads as JSON, NULL where there is none, and the schema of what names them. They are not
+    filtered here: a filter would move below a shuffle that deals the payloads out."""
+    kind = dict(events.dtypes)["session_id"]
+    body = F.to_json("payload").alias("body")
+    rows = events.select("session_id", "topic", F.col("seq").cast("bigint").alias("seq"), body)
+    return rows, f"session_id {kind}, topic string, seq bigint"
+
+
 def _writes(events: DataFrame) -> DataFrame:
     """session_id, topic, seq, path, kind, empty and value of every path of every message."""
-    kind = dict(events.dtypes)["session_id"]
-    schema = f"session_id {kind}, topic string, seq bigint, path array<string>, kind string, empty boolean, value string"
+    bodies, named = _bodies(events)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, where = [], []
-            for place, body in enumerate(batch.column("body").to_pylist()):
-                touched = opened(body)
-                if touched[0][1] == SCALAR:
-                    continue
+            for place, touched in _containers(batch.column("body")):
                 rows += touched
                 where += [place] * len(touched)
             at = pa.array(where, pa.int64())
@@ -77,7 +106,7 @@ def _writes(events: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).take(at) for c in ("session_id", "topic", "seq")),
-                    pa.array(paths, pa.list_(pa.string())),
+                    _texts(paths),
                     pa.array(kinds, pa.string()),
                     pa.array(empty, pa.bool_()),
                     pa.array(values, pa.string()),
@@ -85,14 +114,52 @@ def _writes(events: DataFrame) -> DataFrame:
                 ["session_id", "topic", "seq", "path", "kind", "empty", "value"],
             )
 
-    bodies = events.select("session_id", "topic", F.col("seq").cast("bigint").alias("seq"), F.to_json("payload").alias("body"))
-    return bodies.where("body is not null").mapInArrow(run, schema)
+    return bodies.mapInArrow(run, f"{named}, path array<string>, kind string, empty boolean, value string")
+
+
+def _canonical(value: Column) -> Column:
+    """JSON as Spark spells it. Texts without escapes are spelled that way already."""
+    same = F.startswith(value, F.lit('"')) & ~F.contains(value, F.lit("\\"))
+    return F.when(same, value).otherwise(F.to_json(F.parse_json(value)))
+
+
+def leaves_by_payload(events: DataFrame) -> DataFrame:
+    """A row for every payload that is an object or a list: session_id, topic, seq and its leaves,
+    an array of path, kind and value (JSON)."""
+    bodies, named = _bodies(events)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, where, sizes = [], [], []
+            for place, touched in _containers(batch.column("body")):
+                leaves = [t for t in touched if t[3] is not None]
+                rows += leaves
+                where.append(place)
+                sizes.append(len(leaves))
+            at = pa.array(where, pa.int64())
+            paths, kinds, _, values = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            parts = [_texts(paths), pa.array(kinds, pa.string()), pa.array(values, pa.string())]
+            inside = pa.StructArray.from_arrays(parts, ["path", "kind", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(at) for c in ("session_id", "topic", "seq")),
+                    pa.ListArray.from_arrays(_places(sizes), inside),
+                ],
+                ["session_id", "topic", "seq", "leaves"],
+            )
+
+    found = bodies.mapInArrow(run, f"{named}, leaves array<struct<path: array<string>, kind: string, value: string>>")
+    spelled = F.transform(
+        "leaves",
+        lambda x: F.struct(x.path.alias("path"), x.kind.alias("kind"), _canonical(x.value).alias("value")),
+    )
+    return found.withColumn("leaves", spelled)
 
 
 def payload_leaves(events: DataFrame) -> DataFrame:
     """Leaves of every single payload: session_id, topic, seq, path, kind and value (JSON)."""
-    leaves = _writes(events).where(F.col("value").isNotNull())
-    return leaves.select(*KEYS, "seq", "kind", F.to_json(F.parse_json("value")).alias("value"))
+    leaves = leaves_by_payload(events).select("session_id", "topic", "seq", F.inline("leaves"))
+    return leaves.select(*KEYS, "seq", "kind", "value")
 
 
 def _judged(seen: DataFrame, span: int) -> DataFrame:

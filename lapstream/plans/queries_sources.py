@@ -96,7 +96,9 @@ def scan_recording(spark, sf_dir):
 )
 def decode_lines(spark, sf_dir):
     """Lines with all they carry: topic, stamp, and every field of the payload."""
-    decoded = recordings.readable(recordings.decode_lines(_lines(spark, sf_dir)))
+    decoded = recordings.readable(recordings.decode_lines(_lines(spark, sf_dir))).drop("line")
+    # Fields, topics and stamps are read from it apart; lines are decoded once.
+    decoded = cut_lineage(decoded, "decoded")
     stamp = F.unix_micros(text.parse_timestamp(F.col("ts_raw")).cast("timestamp"))
     return _with_fields(recordings.to_events(decoded)).join(
         decoded.select("session_id", "seq", stamp.alias("micros")), ["session_id", "seq"]
@@ -105,9 +107,11 @@ def decode_lines(spark, sf_dir):
 
 def _with_fields(events):
     """session_id, seq, topic and the leaves of each payload as one text."""
-    leaves = tree.payload_leaves(events).where("kind = 'scalar'")
-    shown = F.concat(F.array_join("path", "/"), F.lit("="), "value")
-    fields = leaves.groupBy("session_id", "seq").agg(F.array_join(F.sort_array(F.collect_list(shown)), ";").alias("fields"))
+    scalars = F.filter("leaves", lambda x: x.kind == tree.SCALAR)
+    shown = F.transform(scalars, lambda x: F.concat(F.array_join(x.path, "/"), F.lit("="), x.value))
+    leaves = tree.leaves_by_payload(events).select("session_id", "seq", shown.alias("shown"))
+    gathered = F.flatten(F.collect_list("shown"))
+    fields = leaves.groupBy("session_id", "seq").agg(F.array_join(F.sort_array(gathered), ";").alias("fields"))
     return events.select("session_id", "seq", "topic").join(fields, ["session_id", "seq"], "left").select(
         "session_id", "seq", "topic", F.coalesce("fields", F.lit("")).alias("fields")
     )

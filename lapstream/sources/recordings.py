@@ -46,6 +46,9 @@ TOPICS = (
 # A line's place: its split's start in units of 1 KiB, then its number within the task.
 SPLIT_UNIT, LINE_BITS = 1024, 28
 
+# Fixed value: how a JSON list begins whose first element is a string.
+JSON_START = r'^[ \t\r\n]*\[[ \t\r\n]*"'
+
 DECODED = T.StructType(
     [
         T.StructField("topic", T.StringType()),
@@ -98,20 +101,47 @@ def scan_recording(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Strings without escapes or the other kind of quote, and bare words, of a Python literal.
+_TOKEN = re.compile(r"""'([^'"\\]*)'|"[^"\\]*"|[A-Za-z_]+""")
+_WORDS = {"True": "true", "False": "false", "None": "null"}
+_SHALLOW = 64
+_dumps = json.JSONEncoder(default=str).encode
+
+
+def _as_json(found: re.Match) -> str:
+    if found.lastindex:
+        return f'"{found[1]}"'
+    return found[0] if found[0][0] == '"' else _WORDS.get(found[0], "?")
+
+
+def _plain_literal(line: str):
+    """Value of a literal that differs from JSON in quotes and flags only; others raise ValueError.
+
+    Compiling a literal takes several times as long. What is not surely the same in both
+    notations (escapes, other words, deep nesting) is left to the compiler.
+    """
+    if "\\" in line or line.count("[") + line.count("{") > _SHALLOW:
+        raise ValueError("not a plain literal")
+    return json.loads(_TOKEN.sub(_as_json, line))
+
+
 def read_line(line: str) -> tuple[str, str, bool, str | None] | None:
     """One recorded ``[topic, data, timestamp]`` line: a Python literal, else JSON."""
     try:
-        row = ast.literal_eval(line.strip())
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        row = _plain_literal(line.strip())
+    except ValueError:
         try:
-            row = json.loads(line)
-        except ValueError:
-            return None
+            row = ast.literal_eval(line.strip())
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            try:
+                row = json.loads(line)
+            except ValueError:
+                return None
     if not isinstance(row, list | tuple) or len(row) < 2:
         return None
     text = isinstance(row[1], str)
     stamp = str(row[2]) if len(row) > 2 else None
-    return str(row[0]), row[1] if text else json.dumps(row[1], default=str), text, stamp
+    return str(row[0]), row[1] if text else _dumps(row[1]), text, stamp
 
 
 @F.pandas_udf(DECODED)
@@ -127,8 +157,12 @@ _decode = _read_lines.asNondeterministic()
 
 
 def _json_line(line: Column) -> Column:
-    """Array of a line that is JSON and means the same as a literal: without escapes."""
-    return F.when(~F.contains(line, F.lit("\\")), F.try_parse_json(line))
+    """Array of a line that is JSON and means the same as a literal: without escapes.
+
+    Lines that cannot start with a JSON string are not tried: a failed parse costs far more
+    than a good one.
+    """
+    return F.when(line.rlike(JSON_START) & ~F.contains(line, F.lit("\\")), F.try_parse_json(line))
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
