@@ -7,7 +7,9 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from lapstream.operators import tree
 from lapstream.plans import queries_sources as sources
 from lapstream.sources import recordings
 
@@ -65,3 +67,47 @@ def test_plain_literals_are_not_compiled(monkeypatch, line):
     want = recordings.read_line(line)
     monkeypatch.setattr(ast, "literal_eval", lambda _: pytest.fail("compiled"))
     assert recordings.read_line(line) == want is not None
+
+
+def told(spark, messages, name="s"):
+    rows = [(name, "T", i, json.dumps(m)) for i, m in enumerate(messages)]
+    events = spark.createDataFrame(rows, "session_id string, topic string, seq long, j string")
+    return events.withColumn("payload", F.parse_json("j"))
+
+
+def folded(events):
+    return {"/".join(r["path"]): r["value"] for r in tree.fold_tree(events).collect()}
+
+
+@pytest.fixture
+def scanned(monkeypatch):
+    """Rows handed to every ordered scan."""
+    seen = []
+    running = tree.running
+
+    def counted(df, *args, **named):
+        seen.append(df.count())
+        return running(df, *args, **named)
+
+    monkeypatch.setattr(tree, "running", counted)
+    return seen
+
+
+def test_plain_paths_are_not_scanned(spark, scanned):
+    messages = [{"Lines": {"5": {"Position": str(i), "Gap": i}}} for i in range(9)]
+    assert folded(told(spark, messages)) == {"Lines/5/Position": '"8"', "Lines/5/Gap": "8"}
+    assert scanned == []
+
+
+@pytest.mark.parametrize("name", ["s", None])
+def test_only_mixed_paths_are_scanned(spark, scanned, name):
+    messages = [{"a": i, "s": [1, 2]} for i in range(5)] + [{"s": {"1": 9}}, {"e": {}}]
+    assert folded(told(spark, messages, name)) == {"a": "4", "s/0": "1", "s/1": "9", "e": "{}"}
+    assert scanned[0] == 7
+
+
+def test_payloads_are_opened_where_they_were_dealt(spark):
+    """A filter on the payload would move below the shuffle, into the few splits of the scan."""
+    dealt = told(spark, [{"a": 1}, {"b": 2}]).repartition(5, "seq")
+    plan = tree._writes(dealt)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
