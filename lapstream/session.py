@@ -9,6 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows a task may hold where each costs some 100 microseconds.
+ROWS_PER_TASK = 1 << 17
+
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench. A cluster brings its own."""
@@ -72,10 +75,14 @@ def cut_lineage(df: DataFrame, label: str = "step", by: Sequence[str] = ()) -> D
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where a scan has fewer splits than there are cores.
+    """Deal the rows of a scan out where it has too few splits for costly work per row.
 
     A single small file is one split, and per-row work on it would keep one core
-    busy. Inputs with enough splits are left alone: no shuffle is added to them.
+    busy; a large file has far more rows than a task should hold. There are as many
+    tasks as cores, or as many as the rows need at ``ROWS_PER_TASK``; rows are counted
+    from the file footers. Inputs with enough splits are left alone: no shuffle is added
+    to them. Rows are dealt by hash, which needs no sort, and alike in every run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = max(cores, -(-df.count() // ROWS_PER_TASK))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *df.columns)

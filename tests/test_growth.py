@@ -9,6 +9,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lapstream import session
 from lapstream.operators import tree
 from lapstream.plans import queries_sources as sources
 from lapstream.sources import recordings
@@ -69,6 +70,15 @@ def test_plain_literals_are_not_compiled(monkeypatch, line):
     assert recordings.read_line(line) == want is not None
 
 
+def test_tasks_grow_with_rows(spark, odd_dir, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20, raising=False)
+    events = spark.read.parquet(f"{odd_dir}/events.parquet")
+    dealt = session.spread(events)
+    assert dealt.rdd.getNumPartitions() == 15
+    assert sorted(dealt.collect()) == sorted(events.collect())
+    assert session.spread(dealt).rdd.getNumPartitions() == 15
+
+
 def told(spark, messages, name="s"):
     rows = [(name, "T", i, json.dumps(m)) for i, m in enumerate(messages)]
     events = spark.createDataFrame(rows, "session_id string, topic string, seq long, j string")
