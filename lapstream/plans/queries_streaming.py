@@ -21,15 +21,10 @@ STEPS = 3
 
 
 def _message_files(spark, sf_dir, label):
-    """Message files that follow each other in seq, one per step."""
+    """Message files that follow each other in seq, for ``STEPS`` micro-batches or more."""
     path = scratch_path(spark, label)
-    rows = standins.messages(spark, sf_dir).drop("k", "car")
-    ends = standins.feed(spark, sf_dir).agg(F.min("seq"), F.max("seq")).first()
-    width = (ends[1] - ends[0]) // STEPS + 1
-    for step in range(STEPS):
-        low = ends[0] + step * width
-        part = rows.where((F.col("seq") >= low) & (F.col("seq") < low + width))
-        part.write.mode("append").parquet(f"{path}/step={step}")
+    rows = standins.messages(spark, sf_dir, lambda events: run.in_order(events, "event_id", STEPS)).drop("k", "car")
+    run.write_in_order(rows, path)
     return path, rows.schema
 
 
@@ -43,7 +38,7 @@ def _stream(spark, path, schema):
     """Oldest files first, a few per micro-batch."""
     return _opened(
         spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 8)
+        .option("maxFilesPerTrigger", run.BATCH_FILES)
         .option("recursiveFileLookup", "true")
         .parquet(path)
     )
@@ -194,7 +189,7 @@ def catch_up_then_tail(spark, sf_dir):
     out, log = scratch_path(spark, "o5-out"), scratch_path(spark, "o5-log")
     rows = spark.read.schema(schema).parquet(path)
     middle = standins.feed(spark, sf_dir).agg(F.avg("seq")).first()[0]
-    rows.where(F.col("seq") < middle).write.parquet(f"{live}/part=history")
+    run.write_in_order(run.in_order(rows.where(F.col("seq") < middle), "seq"), f"{live}/part=history")
     _run_laps(spark, live, schema, out, log)
-    rows.where(F.col("seq") >= middle).write.parquet(f"{live}/part=live")
+    run.write_in_order(run.in_order(rows.where(F.col("seq") >= middle), "seq"), f"{live}/part=live")
     return _shown(_run_laps(spark, live, schema, out, log))

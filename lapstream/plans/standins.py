@@ -6,6 +6,8 @@ The SQL twins of the same views live in ``oracle_views``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: seq, ts, wk, cohort, session_id, driver, topic, value, k."""
+Deal = Callable[[DataFrame], DataFrame]
+
+
+def feed(spark: SparkSession, sf_dir: str, deal: Deal | None = None) -> DataFrame:
+    """One row per event: seq, ts, wk, cohort, session_id, driver, topic, value, k.
+
+    ``deal`` gives the events to tasks before they are read into columns.
+    """
+    rows = events(spark, sf_dir)
     week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("bigint")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    return events(spark, sf_dir).select(
+    return (deal(rows) if deal else rows).select(
         F.col("event_id").alias("seq"),
         F.col("ts"),
         week.alias("wk"),
@@ -260,9 +269,13 @@ def message_topic() -> Column:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed messages as text: session_id, seq, ts, topic, payload_json."""
-    rows = spread(feed(spark, sf_dir)).withColumnRenamed("topic", "event_type")
+def messages(spark: SparkSession, sf_dir: str, deal: Deal | None = None) -> DataFrame:
+    """Feed messages as text: session_id, seq, ts, topic, payload_json.
+
+    Rows are spread by hash, or as ``deal`` gives the events to tasks.
+    """
+    rows = feed(spark, sf_dir, deal)
+    rows = (rows if deal else spread(rows)).withColumnRenamed("topic", "event_type")
     rows = rows.withColumn("car", _number(F.col("driver")))
     return rows.select(
         _number(F.col("session_id")).alias("session_id"),

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Rows a file of a written feed may hold, and files a micro-batch takes.
+FILE_ROWS = 1 << 19
+BATCH_FILES = 8
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -16,6 +19,36 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def in_order(df: DataFrame, order: str, batches: int = 1) -> DataFrame:
+    """Deal rows to tasks that follow each other in ``order``: files for so many micro-batches at least."""
+    files = max(batches * BATCH_FILES, -(-df.count() // FILE_ROWS))
+    return df.repartitionByRange(files, order)
+
+
+def write_in_order(df: DataFrame, path: str) -> None:
+    """Write a table of :func:`in_order` for a file source, which takes files by their time of change.
+
+    The tasks end in any order, so files are stamped in the order of their rows, a second apart.
+    Then any number of files makes a micro-batch without a row coming before an earlier one.
+    """
+    df.write.parquet(path)
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def files() -> list:
+        found = [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        return sorted(found, key=lambda f: int(f.getPath().getName().split("-")[1]))
+
+    written = files()
+    newest = max((f.getModificationTime() for f in written), default=0)
+    for back, each in enumerate(reversed(written)):
+        fs.setTimes(each.getPath(), newest - 1000 * back, -1)
+    times = [f.getModificationTime() for f in files()]
+    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
+        raise RuntimeError(f"files below {path} cannot be stamped in order")
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream to a Parquet table; default is to catch up and stop."""
     return (
